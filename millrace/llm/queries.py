@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, read, text_or_empty
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .mixing import plan_mix
 from .sharding import rendezvous, shard
+from .token_counts import token_counts
 
 SHARDS = 40
 
@@ -24,17 +27,41 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("grown_shard", rendezvous(F.col("doc_id"), [1.0] * (SHARDS + 1)))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    plan = plan_mix(docs, weights=(3, 1, 2), share=1.5, most=2.0, keep=["doc_id"])
+    goals = F.broadcast(plan.sources.select("source_no", "source_size", "target"))  # one row a source, of which there are max_sources at most
+    return plan.taken().join(goals, "source_no").select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), rule="first")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, read(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_rendezvous_sharding, op4_line_dedup, op9_exact_dedup)
+    f.__name__: f
+    for f in (
+        op2_rendezvous_sharding,
+        op3_source_mixing,
+        op4_line_dedup,
+        op5_token_counts,
+        op9_exact_dedup,
+        op10_decontamination,
+    )
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
