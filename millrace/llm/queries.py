@@ -12,6 +12,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import plan_mix
+from .quality import fit, in_fold, quality_scores
 from .sharding import rendezvous, shard
 from .token_counts import token_counts
 
@@ -43,6 +44,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), rule="first")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit(docs, read(spark, sf_dir, "labels"), label_col="quality", modulus=5, max_rows=4000)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return quality_scores(docs, net).select("doc_id", in_fold(F.col("doc_id"), 5).alias("held_out"), "score", predicted)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_source_mixing,
         op4_line_dedup,
         op5_token_counts,
+        op6_quality_classifier,
         op9_exact_dedup,
         op10_decontamination,
     )
