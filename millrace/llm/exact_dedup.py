@@ -24,7 +24,8 @@ def _names(values: DataFrame, cols: list[str], name: str) -> DataFrame:
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     size = int(block_bytes)
-    base = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(text_or_empty(text_col)).cast("binary").alias("b"))
+    # explode() makes a column of the normalised text; a plain alias would be worked out again for every block
+    base = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(ascii_lower(text_or_empty(text_col)).cast("binary"))).alias("b"))
     cut = f"transform(sequence(0, cast(greatest(ceil(octet_length(b) / {size}) - 1, 0) as int)), i -> substring(b, i * {size} + 1, {size}))"
     return base.withColumn("blocks", F.expr(cut))
 
