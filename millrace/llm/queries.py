@@ -12,6 +12,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import plan_mix
+from .ngram_join import ngram_components
 from .quality import fit, in_fold, quality_scores
 from .sharding import rendezvous, shard
 from .token_counts import token_counts
@@ -51,6 +52,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, net).select("doc_id", in_fold(F.col("doc_id"), 5).alias("held_out"), "score", predicted)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_line_dedup,
         op5_token_counts,
         op6_quality_classifier,
+        op7_ngram_jaccard_join,
         op9_exact_dedup,
         op10_decontamination,
     )
