@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import suffix_tree_lm
 from .common import LOWER, UPPER, read, text_or_empty
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
@@ -56,6 +57,13 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(read(spark, sf_dir, "documents"), n=5, percent=80)
 
 
+def op8_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = suffix_tree_lm.in_fold(F.col("doc_id"), 7, 2)
+    scores = suffix_tree_lm.score(docs, suffix_tree_lm.train(docs.where(~held_out)))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -74,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_token_counts,
         op6_quality_classifier,
         op7_ngram_jaccard_join,
+        op8_suffix_tree_scoring,
         op9_exact_dedup,
         op10_decontamination,
     )
