@@ -16,11 +16,17 @@ from .mixing import plan_mix
 from .ngram_join import ngram_components
 from .quality import fit, in_fold, quality_scores
 from .sharding import rendezvous, shard
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 
 SHARDS = 40
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(read(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty().cast("binary")
     docs = read(spark, sf_dir, "documents").select(
@@ -76,6 +82,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op2_rendezvous_sharding,
         op3_source_mixing,
         op4_line_dedup,
