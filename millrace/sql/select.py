@@ -117,6 +117,11 @@ class Rewriter:
                     out.append(word)
                     i += 1
                     continue
+                if word in ("LIMIT", "OFFSET") and i + 1 < len(tokens) and tokens[i + 1].kind in (NUMBER, PARAM):
+                    out.append(f"{word} {self._whole(tokens[i + 1])}")
+                    in_from = expect = False
+                    i += 2
+                    continue
                 if word in _AFTER_FROM and word not in ("ON", "USING"):
                     in_from = expect = False
                 if expect and not (word == "SELECT"):
@@ -166,6 +171,10 @@ class Rewriter:
                     out.append(f"`{t.text}`")
                     i += 1
                 continue
+            if t.kind == NUMBER and i + 1 < len(tokens) and tokens[i + 1].is_("PRECEDING", "FOLLOWING"):
+                out.append(t.text)
+                i += 1
+                continue
             if t.kind in (STRING, NUMBER, PARAM):
                 begins.append(len(out))
                 out.append(self._value(t))
@@ -198,6 +207,14 @@ class Rewriter:
             return f"{t.text}D"
         return f"{t.text}L" if int(t.text) < 2**63 else self._too_large(t.text)
 
+    def _whole(self, t: Token) -> int:
+        """The count that LIMIT or OFFSET takes."""
+        value = self.params.value(t.text) if t.kind == PARAM else t.text
+        try:
+            return int(value)
+        except (TypeError, ValueError):
+            raise InvalidSql(f"{value!r} is no count of rows") from None
+
     @staticmethod
     def _too_large(text: str) -> str:
         raise InvalidSql(f"{text} takes more than 64 bits")
