@@ -1,0 +1,147 @@
+"""Interchange with .db files, through the standard library's reader of them.
+
+Reading is a Spark data source with a partition for each range of rowids; the file must be at a path that executors see.
+Writing makes one file, so it is the driver's work, row by row from the executors.
+"""
+
+from __future__ import annotations
+
+import sqlite3
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..catalog import RID
+from ..errors import Corrupt
+from ..operators import dml
+from ..types import affinity, declared_type, spark_type
+
+FORMAT = "millrace_db_file"
+ROWS_PER_PART = 200_000
+_PYTHON = {T.LongType(): int, T.DoubleType(): float, T.StringType(): str, T.BinaryType(): bytes}
+
+
+def _quote(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _connect(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{path.removeprefix('file://')}?mode=ro", uri=True)
+
+
+class _Range(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, schema: T.StructType, options: dict):
+        self.schema, self.path, self.table = schema, options["path"], options["table"]
+
+    def partitions(self) -> list[_Range]:
+        db = _connect(self.path)
+        try:
+            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quote(self.table)}").fetchone()
+        finally:
+            db.close()
+        if low is None:
+            return [_Range(0, 0)]
+        return [_Range(a, min(a + ROWS_PER_PART, high + 1)) for a in range(low, high + 1, ROWS_PER_PART)]
+
+    def read(self, part: _Range) -> Iterator[tuple]:
+        kinds = [_PYTHON.get(f.dataType) for f in self.schema]
+        names = ", ".join(_quote(f.name) for f in self.schema)
+        db = _connect(self.path)
+        try:
+            for row in db.execute(f"SELECT {names} FROM {_quote(self.table)} WHERE rowid >= ? AND rowid < ?", (part.low, part.high)):
+                # a column of a file may hold values of several classes; ours has one type
+                yield tuple(v if v is None or k is None or isinstance(v, k) else v.encode() if k is bytes and isinstance(v, str) else k(v) for v, k in zip(row, kinds, strict=True))
+        finally:
+            db.close()
+
+
+class DbFile(DataSource):
+    """Options: path and table."""
+
+    @classmethod
+    def name(cls) -> str:
+        return FORMAT
+
+    def schema(self) -> T.StructType:
+        db = _connect(self.options["path"])
+        try:
+            info = db.execute(f"PRAGMA table_info({_quote(self.options['table'])})").fetchall()
+        finally:
+            db.close()
+        # NUMERIC columns hold what their values are, so they come as real numbers
+        return T.StructType([T.StructField(r[1], spark_type(r[2] or "BLOB") if affinity(r[2] or "BLOB") != "numeric" else T.DoubleType()) for r in info])
+
+    def reader(self, schema: T.StructType) -> _Reader:
+        return _Reader(schema, self.options)
+
+
+def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    spark.dataSource.register(DbFile)
+    return spark.read.format(FORMAT).option("path", path).option("table", table).load()
+
+
+def import_file(db: object, path: str) -> list[str]:
+    """Make the file's tables, with keys, foreign keys, views and indexes, in a database; their names."""
+    file = _connect(path)
+    try:
+        found = file.execute("SELECT type, name, tbl_name, sql FROM sqlite_master WHERE sql IS NOT NULL AND name NOT LIKE 'sqlite_%' ORDER BY rowid").fetchall()
+    except sqlite3.DatabaseError as e:
+        raise Corrupt(f"{path}: {e}") from e
+    finally:
+        file.close()
+    names = [name for kind, name, _, _ in found if kind == "table"]
+    fk = db.state.foreign_keys
+    db.exec("PRAGMA foreign_keys = OFF")
+    for kind, name, _, sql in found:
+        if kind == "table":
+            db.exec(sql)
+            rows = read_table(db.spark, path, name)
+            incoming = db._incoming(db.state.table(name), rows.columns, rows)
+            db._change(lambda n=name, r=incoming: db._write(lambda s: dml.insert(s, n, r)))
+    for kind, _, _, sql in found:
+        if kind in ("index", "view", "trigger"):
+            db.exec(sql)
+    db.exec(f"PRAGMA foreign_keys = {'ON' if fk else 'OFF'}")
+    return names
+
+
+def table_sql(state: object, name: str) -> str:
+    """The CREATE TABLE that makes a table of the catalog."""
+    table = state.table(name)
+    parts = []
+    for c in table.columns:
+        text = f"{_quote(c.name)} {c.declared or declared_type(c.type)}" + (" NOT NULL" if c.not_null else "")
+        parts.append(text)
+    for k in table.keys:
+        if k.index is None:
+            parts.append(f"{'PRIMARY KEY' if k.primary else 'UNIQUE'} ({', '.join(map(_quote, k.columns))})")
+    for f in table.foreign:
+        parts.append(
+            f"FOREIGN KEY ({', '.join(map(_quote, f.columns))}) REFERENCES {_quote(f.parent)} ({', '.join(map(_quote, f.parent_columns))}) ON DELETE {f.on_delete} ON UPDATE {f.on_update}"
+        )
+    return f"CREATE TABLE {_quote(table.name)} ({', '.join(parts)})"
+
+
+def export_file(db: object, path: str) -> None:
+    """Write tables, indexes and views to a new .db file."""
+    out = sqlite3.connect(path)
+    try:
+        for table in db.state.tables.values():
+            out.execute(table_sql(db.state, table.name))
+            marks = ", ".join("?" * len(table.columns))
+            rows = (tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in table.df.orderBy(RID).drop(RID).toLocalIterator())
+            out.executemany(f"INSERT INTO {_quote(table.name)} VALUES ({marks})", rows)
+        for i in db.state.indexes.values():
+            out.execute(f"CREATE {'UNIQUE ' * i.unique}INDEX {_quote(i.name)} ON {_quote(i.table)} ({', '.join(map(_quote, i.columns))})")
+        for v in db.state.views.values():
+            out.execute(f"CREATE VIEW {_quote(v.name)} AS {v.sql}")
+        out.commit()
+    finally:
+        out.close()
