@@ -135,14 +135,13 @@ def _find(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each document, how many of its members another batch holds too."""
+    """Of a bucket: the document of each member that another batch holds too, a row for each such member."""
     members = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("members")]
     owners = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("owners")])
     base = np.repeat(table.column("base").to_numpy(), [len(x) for x in members])
     _, at, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
     hit = (count[at] > 1) & (owners != 65535)
-    rid, n = np.unique(base[hit] + owners[hit], return_counts=True)
-    return pa.table({"rid": pa.array(rid, pa.int64()), "met": pa.array(n, pa.int64())})
+    return pa.table({"rid": pa.array(base[hit] + owners[hit], pa.int64())})
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -310,7 +309,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = max(32, source.count() // 2000)
     found = save(_find(source, n, percent, buckets), "ngram-find")
     members = found.where("bucket is not null").select("bucket", "base", "members", "owners")
-    met = members.groupBy("bucket").applyInArrow(_met, "rid long, met long").groupBy("rid").agg(F.sum("met").alias("met"))
+    met = members.groupBy("bucket").applyInArrow(_met, "rid long").groupBy("rid").agg(F.count("*").alias("met"))
     rows = found.where("rid is not null").select("rid", "doc_id", "size", "s1", "s2", "least", "own")
     alive = rows.join(met, "rid", "left").where("size > 0 and own + coalesce(met, 0) >= least")
     alive = save(alive.select("doc_id").distinct().withColumnRenamed("doc_id", "alive_id"), "alive")
