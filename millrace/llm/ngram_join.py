@@ -314,7 +314,8 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alive = rows.join(met, "rid", "left").where("size > 0 and own + coalesce(met, 0) >= least")
     alive = save(alive.select("doc_id").distinct().withColumnRenamed("doc_id", "alive_id"), "alive")
 
-    texts = source.join(alive, F.col("doc_id").eqNullSafe(F.col("alive_id")), "left_semi").select("text")
+    # the ids grow with the corpus, so this join is a shuffle at every size
+    texts = source.join(alive.hint("merge"), F.col("doc_id").eqNullSafe(F.col("alive_id")), "left_semi").select("text")
     sets = _sets(texts, n).where("size > 0").groupBy("s1", "s2", "size").agg(F.first("members").alias("members"))
     sets = save(sets.withColumn("nid", F.monotonically_increasing_id()), "sets")
     each = sets.select("nid", "size", F.explode("members").alias("member"))
