@@ -1,20 +1,62 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, save
 
+#: Edges that one task takes, in a few arrays of 8 MB; more go through rounds over all tasks.
+TASK_EDGES = 1_000_000
+
+
+def smallest_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes, and for each the smallest that edges lead to: labels meet along edges and jump to their labels' labels."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            nodes, roots = smallest_reached(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(work, "node long, component long")
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the smallest node that edges lead to), for every node of a non-loop edge. Nulls make no edge.
 
-    Every round writes its edges to the shared folder; only their count and checksum come to the driver.
+    Up to TASK_EDGES edges are one task's work. More go through alternating large-star and small-star rounds: every round
+    writes its edges to the shared folder, and only their count and checksum come to the driver.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now, mark = save(now, "edges"), None
+    now = save(now, "edges")
+    if now.count() <= TASK_EDGES:
+        return _in_one_task(now)
+    return by_rounds(now)
+
+
+def by_rounds(now: DataFrame, mark: tuple | None = None) -> DataFrame:
+    """connected_components() of a saved table of distinct edges u > v."""
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
