@@ -108,7 +108,7 @@ def _find(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 g, owner = g[new], np.where(many, np.uint16(65535), owner[new])
                 bucket = ((g >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(g) else np.zeros(0, np.int64)
-                ends = np.append(cuts[1:], len(g))
+                ends = np.append(cuts[1:], len(g))[: len(cuts)]
                 low32 = g.astype(np.uint32)
                 k, b = len(size), len(cuts)
                 longs = lambda x: pa.array(np.concatenate((x, np.zeros(b, np.int64))), pa.int64(), mask=np.arange(k + b) >= k)

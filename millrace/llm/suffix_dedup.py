@@ -119,7 +119,7 @@ def _offer(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 b = ((core >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 s = np.flatnonzero(sent)
                 cuts = np.flatnonzero(np.append(True, b[s][1:] != b[s][:-1])) if len(s) else np.zeros(0, np.int64)
-                ends = np.append(cuts[1:], len(s))
+                ends = np.append(cuts[1:], len(s))[: len(cuts)]
                 cols = (
                     core[s].astype(np.uint32),
                     ext[s],
@@ -175,7 +175,7 @@ def _decide(table: pa.Table) -> pa.Table:
     order = np.argsort(rid, kind="stable")
     rid, packed = rid[order], (nth[order].astype(np.uint64) << np.uint64(2) | code[order]).astype(np.uint64)
     own, cuts = np.unique(rid, return_index=True)
-    ends = np.append(cuts[1:], len(rid))
+    ends = np.append(cuts[1:], len(rid))[: len(cuts)]
     return pa.table({"rid": pa.array(own, pa.int64()), "found": pa.array([packed[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
 
 
