@@ -369,7 +369,9 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     some = not hot.isEmpty()
     cold = parts.join(hot, "core", "left_anti") if some else parts
     groups = max(1, parts.count() // GROUP_RUNS)
-    met = cold.withColumn("g", F.pmod(F.xxhash64("core"), F.lit(groups))).groupBy("g").applyInArrow(_intervals, "did long, lo long, hi long")
+    # by count: a suffix array takes a second for few bytes, so Spark's merging of small partitions would leave few tasks
+    tasks = max(1, groups // max(4, groups // 20_000))
+    met = cold.withColumn("g", F.pmod(F.xxhash64("core"), F.lit(groups))).repartition(tasks, "g").groupBy("g").applyInArrow(_intervals, "did long, lo long, hi long")
     if some:
         windows = save(_digests(parts.join(hot, "core")), "hot-windows")
         twice = save(windows.groupBy("digest").count().where("count > 1").select("digest"), "hot-digests")
