@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import InvalidSql
-from .patterns import LOWER, SPACES, UPPER
+from .patterns import SPACES, lower, lower_sql, upper, upper_sql
 
 
 def quote(text: str) -> str:
@@ -55,8 +55,8 @@ def _json_set(j: str, path: str, value: str) -> str:
 #: What each function becomes, by its number of arguments.
 SQL = {
     ("length", 1): lambda x: f"CAST(octet_length({x}) AS BIGINT)",
-    ("lower", 1): lambda x: f"translate(CAST({x} AS STRING), '{UPPER}', '{LOWER}')",
-    ("upper", 1): lambda x: f"translate(CAST({x} AS STRING), '{LOWER}', '{UPPER}')",
+    ("lower", 1): lower_sql,
+    ("upper", 1): upper_sql,
     ("trim", 1): lambda x: f"trim(BOTH {_WS} FROM {x})",
     ("ltrim", 1): lambda x: f"trim(LEADING {_WS} FROM {x})",
     ("rtrim", 1): lambda x: f"trim(TRAILING {_WS} FROM {x})",
@@ -92,14 +92,6 @@ def length(x: Column) -> Column:
     return F.octet_length(x).cast("long")
 
 
-def lower(x: Column) -> Column:
-    return F.translate(x.cast("string"), UPPER, LOWER)
-
-
-def upper(x: Column) -> Column:
-    return F.translate(x.cast("string"), LOWER, UPPER)
-
-
 def trim(x: Column) -> Column:
     return F.btrim(x, F.lit(SPACES))
 
@@ -152,3 +144,6 @@ def not_in(x: Column, values: list) -> Column:
     """NOT IN as the dialect has it: nulls in the list are passed over, and a null on the left passes."""
     some = [v for v in values if v is not None]
     return F.coalesce(~x.isin(some), F.lit(True)) if some else F.lit(True)
+
+
+__all__ = ["SQL", "cast", "cast_", "instr", "json_extract", "length", "lower", "ltrim", "not_in", "quote", "render", "round_", "rtrim", "substr", "trim", "typeof", "upper"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,11 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def open_db(spark: SparkSession, sf_dir: str) -> Database:
-    """A database that has the driver's tables; each is read when a query needs it."""
-    db = Database(spark)
+def open_db(spark: SparkSession, sf_dir: str, texts: str) -> Database:
+    """A database that has those of the driver's tables that the texts name."""
+    db, named = Database(spark), set(re.findall(r"\w+", texts))
     for name in TABLES:
-        db.load(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if name in named:
+            db.load(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     return db
 
 
@@ -30,7 +32,7 @@ def _sql(name: str, text: str, oracle: str | None = None, params: list | dict |
     """A query in the dialect; oracle: for DuckDB, the same text if not given. before: statements that come first."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        db = open_db(spark, sf_dir)
+        db = open_db(spark, sf_dir, f"{before} {text}")
         if before:
             db.exec(before)
         return db.query(text, params)
@@ -41,7 +43,7 @@ def _sql(name: str, text: str, oracle: str | None = None, params: list | dict |
 
 
 def _dsl(name: str, build: Callable[[Database], DataFrame], oracle: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: build(open_db(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: build(open_db(spark, sf_dir, oracle))
     ORACLES[name] = oracle
 
 

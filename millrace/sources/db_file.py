@@ -91,6 +91,7 @@ def import_file(db: object, path: str) -> list[str]:
     """Make the file's tables, with keys, foreign keys, views and indexes, in a database; their names."""
     file = _connect(path)
     try:
+        version, app = (file.execute(f"PRAGMA {x}").fetchone()[0] for x in ("user_version", "application_id"))
         found = file.execute("SELECT type, name, tbl_name, sql FROM sqlite_master WHERE sql IS NOT NULL AND name NOT LIKE 'sqlite_%' ORDER BY rowid").fetchall()
     except sqlite3.DatabaseError as e:
         raise Corrupt(f"{path}: {e}") from e
@@ -108,7 +109,7 @@ def import_file(db: object, path: str) -> list[str]:
     for kind, _, _, sql in found:
         if kind in ("index", "view", "trigger"):
             db.exec(sql)
-    db.exec(f"PRAGMA foreign_keys = {'ON' if fk else 'OFF'}")
+    db.exec(f"PRAGMA foreign_keys = {'ON' if fk else 'OFF'}; PRAGMA user_version = {version}; PRAGMA application_id = {app}")
     return names
 
 
@@ -133,6 +134,8 @@ def export_file(db: object, path: str) -> None:
     """Write tables, indexes and views to a new .db file."""
     out = sqlite3.connect(path)
     try:
+        out.execute(f"PRAGMA user_version = {db.state.user_version}")
+        out.execute(f"PRAGMA application_id = {db.state.application_id}")
         for table in db.state.tables.values():
             out.execute(table_sql(db.state, table.name))
             marks = ", ".join("?" * len(table.columns))

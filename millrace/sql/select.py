@@ -11,7 +11,7 @@ import decimal
 from collections.abc import Callable, Sequence
 
 from ..errors import InvalidParameter, InvalidSql, Unsupported
-from ..functions.patterns import LOWER, UPPER, glob_regex, like_pattern
+from ..functions.patterns import glob_regex, like_pattern, lower_sql
 from ..functions.scalar import SQL, cast, quote, render
 from .tokens import NAME, NUMBER, OP, PARAM, STRING, WORD, Token
 
@@ -293,14 +293,13 @@ class Rewriter:
             elif word == "GLOB":
                 made = f"CAST({left} AS STRING) RLIKE {quote(glob_regex(str(text)))}"
             else:
-                made = f"translate(CAST({left} AS STRING), '{UPPER}', '{LOWER}') LIKE {quote(like_pattern(str(text)))}"
+                made = f"{lower_sql(left)} LIKE {quote(like_pattern(str(text)))}"
             end = i + 2
         elif word == "GLOB":
             raise Unsupported("GLOB takes a literal or a parameter as its pattern")
         else:
             other, end = self._operand(tokens, i + 1)
-            fold = "translate({}, '" + UPPER + "', '" + LOWER + "')"
-            made = fold.format(f"CAST({left} AS STRING)") + " LIKE replace(" + fold.format(other) + r", '\\', '\\\\')"
+            made = f"{lower_sql(left)} LIKE replace({lower_sql(other)}, " + r"'\\', '\\\\')"
         out.append(f"(NOT ({made}))" if negated else f"({made})")
         return end
 

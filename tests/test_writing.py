@@ -187,7 +187,7 @@ def test_migrations(db):
 
 
 def test_db_files(db, tmp_path):
-    from millrace.sources.sqlite_file import export_file, import_file
+    from millrace.sources.db_file import export_file, import_file
 
     path = str(tmp_path / "a.db")
     file = sqlite3.connect(path)
@@ -195,8 +195,10 @@ def test_db_files(db, tmp_path):
         "CREATE TABLE p (id INTEGER PRIMARY KEY, name TEXT NOT NULL, x REAL, b BLOB); INSERT INTO p VALUES (1, 'é', 1.5, x'00ff'), (5, 'b', NULL, NULL);"
         "CREATE TABLE c (id INTEGER, p INTEGER REFERENCES p(id) ON DELETE CASCADE); INSERT INTO c VALUES (1, 5); CREATE VIEW v AS SELECT name FROM p; CREATE INDEX i ON p (name)"
     )
+    file.execute("PRAGMA user_version = 12")
     file.close()
     assert import_file(db, path) == ["p", "c"]
+    assert db.exec("PRAGMA user_version").rows() == [(12,)]
     assert rows(db, "SELECT id, name, x FROM p") == [(1, "é", 1.5), (5, "b", None)]
     assert [bytes(r[0]) for r in db.exec("SELECT b FROM p WHERE id = 1").rows()] == [b"\x00\xff"]
     db.exec("DELETE FROM p WHERE id = 5")
