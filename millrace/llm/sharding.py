@@ -32,8 +32,8 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", weights: Sequence[float] =
     shard without gaps, by a hash of the id, then the id, then ``ties``; rows alike in all of these may swap slots.
     A null id is a key like any other. An empty table gives an empty result.
 
-    Slots come from row numbers within 4,096 hash buckets of each shard and the buckets' offsets: a table of at most
-    4,096 rows a shard, the only thing that is broadcast.
+    Slots come from row numbers within 4,096 hash buckets of each shard and the buckets' offsets. The rows are dealt by
+    shard and bucket already, so the join with the offsets moves those only.
     """
     key, kept = F.col(id_col), [c for c in docs.columns if c not in ("shard", "slot")]
     rows = docs.select(F.struct(*kept).alias("row"), rendezvous(key, weights).alias("shard"), order_key(key).alias("place"))
@@ -42,5 +42,5 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", weights: Sequence[float] =
     offsets = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     offsets = offsets.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "bucket").orderBy("place", *(F.col(f"row.`{c}`") for c in (id_col, *ties)))
-    rows = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(offsets), ["shard", "bucket"])
+    rows = rows.withColumn("nth", F.row_number().over(within)).join(offsets, ["shard", "bucket"])
     return rows.select("row.*", "shard", (F.col("start") + F.col("nth") - 1).alias("slot"))
