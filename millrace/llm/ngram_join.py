@@ -263,36 +263,42 @@ def _near(sets: DataFrame, percent: int) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("nid"), F.col("component").alias("near"))
 
 
-def _blocks(sets: DataFrame, within: bool) -> DataFrame:
-    """Groups of at most about 2 * TREE_SETS sets: the blocks of each neighbourhood, or all pairs of its blocks."""
-    sizes = sets.groupBy("near").agg(F.ceil(F.count("*") / TREE_SETS).cast("int").alias("blocks"))
-    cut = sets.join(sizes, "near").withColumn("i", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+def _blocks(near: DataFrame, sets: DataFrame, within: bool) -> DataFrame:
+    """Groups of at most about 2 * TREE_SETS sets: the blocks of each neighbourhood, or all pairs of its blocks. near: nid,
+    near and known. These short rows are dealt by neighbourhood; the sets join them by nid, so a large neighbourhood
+    is no one task's load."""
+    sizes = save(near.groupBy("near").agg(F.ceil(F.count("*") / TREE_SETS).cast("int").alias("blocks")), "near-sizes")
+    cut = near.join(sizes, "near").withColumn("i", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     if within:
-        return cut.withColumn("j", F.col("i")).drop("blocks")
-    other = cut.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).where("blocks = 1 or k <> i")
-    return other.select("near", F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"), "nid", "size", "freqs", "members", "known")
-
-
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of sets (near, nid, size, freqs, members): in blocks first; in a neighbourhood of several blocks, then
-    among one set of each component found, and last among all sets of neighbourhoods that still have several components."""
-    sets = sets.withColumn("known", F.col("nid"))
-    links = save(_joined(_blocks(sets, True), percent), "links")
-    large = sets.groupBy("near").count().where(F.col("count") > TREE_SETS).select("near")
+        cut = cut.withColumn("j", F.col("i"))
+    else:
+        cut = cut.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).where("blocks = 1 or k <> i")
+        cut = cut.withColumn("j", F.greatest("i", "k")).withColumn("i", F.least("i", "k"))
+    return cut.select("near", "i", "j", "nid", "known").join(sets, "nid")
+
+
+def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets (nid, size, freqs, members) in neighbourhoods (nid, near): in blocks first; in a neighbourhood
+    of several blocks, then among one set of each component found, and last among all sets of neighbourhoods that still
+    have several components."""
+    near = near.withColumn("known", F.col("nid"))
+    links = save(_joined(_blocks(near, sets, True), percent), "links")
+    large = near.groupBy("near").count().where(F.col("count") > TREE_SETS).select("near")
     if large.isEmpty():
         return links
-    rest = save(sets.join(large, "near", "left_semi"), "large")
+    rest = save(near.join(large, "near", "left_semi"), "large")
 
     def known(links: DataFrame) -> DataFrame:
-        found = save(connected_components(links), "known").select(F.col("node").alias("nid"), "component")
-        return rest.drop("known").join(found, "nid", "left").withColumn("known", F.coalesce("component", "nid")).drop("component")
+        found = connected_components(links).select(F.col("node").alias("nid"), "component")
+        out = rest.drop("known").join(found, "nid", "left").withColumn("known", F.coalesce("component", "nid")).drop("component")
+        return save(out, "known")
 
     heads = known(links).where("nid = known")
-    links = save(links.unionAll(_joined(_blocks(heads, False), percent)), "links")
+    links = save(links.unionAll(_joined(_blocks(heads, sets, False), percent)), "links")
     apart = known(links)
     several = apart.groupBy("near").agg(F.min("known").alias("p"), F.max("known").alias("q")).where("p < q").select("near")
     apart = apart.join(several, "near", "left_semi")
-    return links.unionAll(_joined(_blocks(apart, False), percent))
+    return links.unionAll(_joined(_blocks(apart, sets, False), percent))
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -325,7 +331,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ordered = save(ordered.select("nid", "size", F.col("m.freq").alias("freqs"), F.col("m.member").alias("members")), "ordered")
     discard(counts)
     near = save(_near(ordered, percent), "near")
-    links = save(_links(ordered.join(near, "nid"), percent), "all-links")
+    links = save(_links(near, ordered, percent), "all-links")
     parts = connected_components(links).withColumnRenamed("node", "nid")
     named = save(sets.select("nid", "s1", "s2").join(parts, "nid", "left").select("s1", "s2", F.coalesce("component", "nid").alias("part")), "parts")
 
