@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import scratch_root
+
 # The ASCII letters, and the characters [\x20\x09-\x0D].
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -18,18 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that setting is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: its plan is then a plain scan, and a lost executor costs a reread only."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -56,6 +45,11 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """The bytes of all texts, by which buckets are cut; a pass that reads one column and shuffles a row for each task."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
+
+
 def order_key(key: Column) -> Column:
     """A stable pseudorandom place for a record key; its first three hex digits serve as one of 4,096 buckets."""
     return F.md5(F.coalesce(key.cast("string"), F.lit("null")))

@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save
+from .common import discard, save, text_bytes
 from .components import connected_components
 from .textvec import column_bytes, mix, ngram_hashes, row_blocks, word_hashes
 
 #: Sets that a task joins in one tree; a larger neighbourhood is joined in blocks of so many.
 TREE_SETS = 512
+#: Bytes of text whose members make up one bucket on the average.
+BUCKET_BYTES = 7_000_000
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +314,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     result. Other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(32, source.count() // 2000)
+    buckets = max(32, text_bytes(source) // BUCKET_BYTES)
     found = save(_find(source, n, percent, buckets), "ngram-find")
     members = found.where("bucket is not null").select("bucket", "base", "members", "owners")
     met = members.groupBy("bucket").applyInArrow(_met, "rid long").groupBy("rid").agg(F.count("*").alias("met"))

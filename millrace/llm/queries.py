@@ -76,7 +76,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate(docs, read(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5).drop("text")
+    found = decontaminate(docs, read(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
+    return found.where("contaminated").select("doc_id", "item_id", "coverage", "n_items", "contaminated")  # the documents that hold test items
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -26,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save
+from .common import discard, save, text_bytes
 from .suffix_array import suffix_array
 from .textvec import _BYTES, BLOCK_BYTES, column_bytes, mix, powers, row_blocks
 
 REACH = 64  # bytes among which a window's anchor is chosen
 GRAM = 16  # bytes that are hashed to choose it
 GROUP_RUNS = 1500  # runs that one suffix array takes, about
+BUCKET_BYTES = 3_500_000  # of text, whose cores make up one bucket's rows on the average
 HOT_RUNS = 20_000  # runs of one core beyond which its windows are counted by digest, spread over all tasks
 
 
@@ -347,7 +348,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(text)).alias("text"))
     source = source.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    buckets = max(32, source.count() // 1000)
+    buckets = max(32, text_bytes(source) // BUCKET_BYTES)
     offers = save(_offer(source, length, buckets), "runs")
     found = offers.where("bucket is not null").select("bucket", "base", "cores", "exts", "owners", "orders", "flags")
     found = found.groupBy("bucket").applyInArrow(_decide, "rid long, found binary").groupBy("rid").agg(F.collect_list("found").alias("found"))

@@ -25,7 +25,8 @@ def test_oracle(spark, name):
 def test_runs(spark, name):
     n = spark.read.parquet(f"{DATA}/documents.parquet").count()
     out = QUERIES[name](spark, DATA)
-    assert out.select("doc_id").distinct().count() == n
+    found = out.select("doc_id").distinct().count()
+    assert 0 < found < n if name.startswith("op10_") else found == n
 
 
 def test_pipeline(spark):
