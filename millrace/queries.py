@@ -150,7 +150,7 @@ _sql("exists_key", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM o
 _sql("not_exists_key", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE orders.o_custkey = customer.c_custkey AND o_totalprice > 350000)")
 _dsl("dsl_exists_key", lambda db: db.from_(CUSTOMERS).where_exists_key(ORDERS, _O.o_custkey, _C.c_custkey).select("c_custkey").to_df(), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 _dsl("dsl_not_in_column", lambda db: db.from_(CUSTOMERS).where_not_in_column(_C.c_custkey, ORDERS, _O.o_custkey).select("c_custkey").to_df(), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-_dsl("dsl_exists_any", lambda db: db.from_(CUSTOMERS).where_exists(ORDERS).select("c_custkey").to_df(), "SELECT c_custkey FROM customer")
+_dsl("dsl_exists_any", lambda db: db.from_(CUSTOMERS).where_exists(ORDERS).select("c_custkey").to_df(), "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders)")
 
 # Aggregates
 _sql("agg_count", "SELECT count(*) AS n FROM orders")
