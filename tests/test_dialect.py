@@ -199,3 +199,15 @@ def test_tokens():
     assert literal(True) == "1L" and literal(-(2**63)).startswith("(")
     with pytest.raises(errors.InvalidParameter):
         Params([1]).value("?0")
+
+
+def test_recursion_stores_large_rounds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import recursion
+    from millrace.sources.store import scratch
+
+    monkeypatch.setattr(recursion, "LOCAL_ROWS", 4)
+    start = spark.range(3).toDF("x")
+    found = recursion.fixpoint(start, lambda df: df.select((F.col("x") + 3).alias("x")).where("x < 20"), scratch)
+    assert sorted(r[0] for r in found.collect()) == list(range(20))
