@@ -190,9 +190,8 @@ def fit(
     chosen = docs.select(F.col(id_col).alias("doc_id"), text.alias("b")).join(F.broadcast(known), "doc_id")  # max_rows rows at most
     pairs, size = max_bytes // (2 * CELL), 2 * CELL
     cut = f"transform(sequence(0, {pairs - 1}), i -> hex(substring(b, cast(i * ((octet_length(b) - {size}) / {pairs - 1}) as int) + 1, {size})))"
-    short = chosen.where(F.octet_length("b") <= max_bytes)
-    long = chosen.where(F.octet_length("b") > max_bytes).withColumn("b", F.unhex(F.array_join(F.expr(cut), "")))  # array_join() takes text only
-    rows = sorted((r["doc_id"], r["label"], bytes(r["b"])) for r in short.unionAll(long).collect())
+    part = F.when(F.octet_length("b") <= max_bytes, F.col("b")).otherwise(F.unhex(F.array_join(F.expr(cut), "")))  # array_join() takes text only
+    rows = sorted((r["doc_id"], r["label"], bytes(r["b"])) for r in chosen.select("doc_id", "label", part.alias("b")).collect())
     return train([b for _, _, b in rows], np.array([x for _, x, _ in rows], np.float32), seed=seed)
 
 
