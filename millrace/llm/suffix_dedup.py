@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, save, text_bytes
 from .suffix_array import suffix_array
-from .textvec import _BYTES, BLOCK_BYTES, column_bytes, mix, powers, row_blocks
+from .textvec import _BYTES, BLOCK_BYTES, column_bytes, mix, powers, row_blocks, slices
 
 REACH = 64  # bytes among which a window's anchor is chosen
 GRAM = 16  # bytes that are hashed to choose it
@@ -95,8 +95,7 @@ def _offer(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for low in range(0, whole.num_rows, 60_000):
-                batch = whole.slice(low, 60_000)
+            for batch in slices(whole, 1):
                 data, bounds = column_bytes(batch.column(1))
                 parts = []
                 for i, _, (row, _, _, _, core, ext) in runs(data, bounds, length):
@@ -208,7 +207,7 @@ def _apply(docs: DataFrame, length: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         did = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 1 << 22)):
             data, bounds = column_bytes(batch.column(1))
             own_sure, own_mixed, found = ints(batch.column(2), np.uint32), ints(batch.column(3), np.uint32), ints(batch.column(4), np.uint64)
             los, his, opens, parts = [], [], [], []
@@ -315,7 +314,7 @@ def _finish(docs: DataFrame, length: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             out = []
             for raw, los, his, more in zip(*(batch.column(c).to_pylist() for c in ("raw", "los", "his", "more")), strict=True):
                 lo = np.array([*los, *(x["lo"] for x in more or ())], np.int64)

@@ -72,6 +72,14 @@ def row_blocks(bounds: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[i
         i = min(j, n)
 
 
+def slices(batch: pa.RecordBatch, text_at: int, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``limit`` bytes of text, or of one row, and of at most 60,000 rows."""
+    _, bounds = column_bytes(batch.column(text_at))
+    for i, j in row_blocks(bounds, limit):
+        for a in range(i, j, 60_000):
+            yield batch.slice(a, min(j - a, 60_000))
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray, kind=BY_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all words of consecutive texts: hash, row, first byte and end. Words never cross texts."""
     codes, apart = kind
