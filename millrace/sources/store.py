@@ -71,8 +71,10 @@ class Store:
             if table.series or (table.parts is not None and not table.added):
                 continue
             folder, parts = f"{self.path}/{table.name.lower()}", list(table.parts or ())
+            # an index orders the rows of each file, so that their statistics say where its values are
+            index = next((i.columns for i in state.indexes.values() if i.table.lower() == table.name.lower()), ())
             for df in table.added if table.parts is not None else (table.df,):
-                parts.append(keep(df, folder)[1])
+                parts.append(keep(df.sortWithinPartitions(*index) if index else df, folder)[1])
             df = self.spark.read.schema(table.schema).parquet(*parts)
             state = state.put_table(_with(table, df, tuple(parts)))
         p, fs = self._fs(f"{self.path}/_manifests/{self.last() + 1}.json")

@@ -1,7 +1,9 @@
 """Writing: conflicts, keys, foreign keys, triggers, transactions, schema changes, storage, migrations."""
 
 import sqlite3
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 from millrace import Database, Migration, Migrator, errors
@@ -176,6 +178,16 @@ def test_store(spark, tmp_path):
         assert rows(db, "SELECT * FROM t") == [(1, "untitled"), (2, "y")]
 
 
+def test_index_orders_files(spark, tmp_path):
+    with Database(spark, f"file://{tmp_path}/db") as db:
+        db.exec("BEGIN; CREATE TABLE t (id INTEGER, k INTEGER); CREATE INDEX by_k ON t (k); CREATE VIRTUAL TABLE s USING generate_series(1, 400); INSERT INTO t SELECT value, value * 37 % 400 FROM s; COMMIT")
+        files = [f for p in db.state.table("t").parts for f in Path(p.removeprefix("file://")).glob("*.parquet")]
+        assert sum(pq.ParquetFile(f).metadata.num_rows for f in files) == 400
+        for f in files:
+            k = pq.read_table(f)["k"].to_pylist()
+            assert k == sorted(k)
+
+
 def test_migrations(db):
     m = Migrator([Migration(2, "INSERT INTO t VALUES (2)", "DELETE FROM t WHERE id = 2")])
     m.add(Migration(1, "CREATE TABLE t (id INTEGER)", "DROP TABLE t"))
