@@ -818,13 +818,13 @@ class Database:
 
     def commit(self) -> None:
         if self._backup is None:
-            raise errors.NoTransaction("no transaction is open")
+            raise errors.NotInTransaction("no transaction is open")
         self._backup, self._savepoints = None, []
         self._persist()
 
     def rollback(self) -> None:
         if self._backup is None:
-            raise errors.NoTransaction("no transaction is open")
+            raise errors.NotInTransaction("no transaction is open")
         self.state, self._backup, self._savepoints = self._backup, None, []
 
     @contextmanager

@@ -11,6 +11,10 @@ class InvalidSql(DatabaseError):
     """The statement can't be parsed, or an argument makes no sense."""
 
 
+class UnexpectedToken(InvalidSql):
+    """Another word or sign belongs where this one stands."""
+
+
 class Unsupported(DatabaseError):
     """The statement is understood but not offered."""
 
@@ -79,7 +83,7 @@ class TransactionActive(DatabaseError):
     pass
 
 
-class NoTransaction(DatabaseError):
+class NotInTransaction(DatabaseError):
     pass
 
 
@@ -97,3 +101,11 @@ class VirtualTableTooLarge(DatabaseError):
 
 class Corrupt(DatabaseError):
     """A stored database can't be read."""
+
+
+class InvalidHeader(Corrupt):
+    """A file is no database."""
+
+
+class InvalidRecord(Corrupt):
+    """A value of a file doesn't fit its column."""

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..catalog import RID
-from ..errors import Corrupt
+from ..errors import InvalidHeader, InvalidRecord
 from ..operators import dml
 from ..types import affinity, declared_type, spark_type
 
@@ -31,6 +31,16 @@ def _connect(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path.removeprefix('file://')}?mode=ro", uri=True)
 
 
+def _fitted(value: object, kind: type | None) -> object:
+    """A value as its column's type; a column of a file may hold values of several classes."""
+    if value is None or kind is None or isinstance(value, kind):
+        return value
+    try:
+        return value.encode() if kind is bytes and isinstance(value, str) else value.decode() if kind is str and isinstance(value, bytes) else kind(value)
+    except (TypeError, ValueError) as e:
+        raise InvalidRecord(f"{value!r} is no {kind.__name__}") from e
+
+
 class _Range(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
@@ -56,8 +66,7 @@ class _Reader(DataSourceReader):
         db = _connect(self.path)
         try:
             for row in db.execute(f"SELECT {names} FROM {_quote(self.table)} WHERE rowid >= ? AND rowid < ?", (part.low, part.high)):
-                # a column of a file may hold values of several classes; ours has one type
-                yield tuple(v if v is None or k is None or isinstance(v, k) else v.encode() if k is bytes and isinstance(v, str) else k(v) for v, k in zip(row, kinds, strict=True))
+                yield tuple(_fitted(v, k) for v, k in zip(row, kinds, strict=True))
         finally:
             db.close()
 
@@ -94,7 +103,7 @@ def import_file(db: object, path: str) -> list[str]:
         version, app = (file.execute(f"PRAGMA {x}").fetchone()[0] for x in ("user_version", "application_id"))
         found = file.execute("SELECT type, name, tbl_name, sql FROM sqlite_master WHERE sql IS NOT NULL AND name NOT LIKE 'sqlite_%' ORDER BY rowid").fetchall()
     except sqlite3.DatabaseError as e:
-        raise Corrupt(f"{path}: {e}") from e
+        raise InvalidHeader(f"{path}: {e}") from e
     finally:
         file.close()
     names = [name for kind, name, _, _ in found if kind == "table"]

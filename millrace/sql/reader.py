@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..errors import InvalidSql
+from ..errors import InvalidSql, UnexpectedToken
 from .tokens import NUMBER, STRING, WORD, Token
 
 _TYPE_END = ("PRIMARY", "NOT", "NULL", "UNIQUE", "DEFAULT", "REFERENCES", "CHECK", "CONSTRAINT", "COLLATE")
@@ -32,7 +32,7 @@ class Reader:
 
     def demand(self, *words: str) -> None:
         if not self.accept(*words):
-            raise InvalidSql(f"{' '.join(words)} expected{self._where()}")
+            raise UnexpectedToken(f"{' '.join(words)} expected{self._where()}")
 
     def accept_op(self, op: str) -> bool:
         if self.now is not None and self.now.op(op):
@@ -42,11 +42,11 @@ class Reader:
 
     def demand_op(self, op: str) -> None:
         if not self.accept_op(op):
-            raise InvalidSql(f"{op} expected{self._where()}")
+            raise UnexpectedToken(f"{op} expected{self._where()}")
 
     def name(self) -> str:
         if self.now is None or not self.now.named:
-            raise InvalidSql(f"a name expected{self._where()}")
+            raise UnexpectedToken(f"a name expected{self._where()}")
         self.i += 1
         return self.tokens[self.i - 1].text
 
@@ -87,7 +87,7 @@ class Reader:
 
     def end(self) -> None:
         if self.now is not None:
-            raise InvalidSql(f"nothing more expected{self._where()}")
+            raise UnexpectedToken(f"nothing more expected{self._where()}")
 
     def if_exists(self) -> bool:
         return self.accept("IF", "EXISTS")
@@ -108,13 +108,13 @@ class Reader:
     def signed(self) -> int:
         sign = -1 if self.accept_op("-") else 1
         if self.now is None or self.now.kind != NUMBER or not self.now.text.isdigit():
-            raise InvalidSql(f"a whole number expected{self._where()}")
+            raise UnexpectedToken(f"a whole number expected{self._where()}")
         self.i += 1
         return sign * int(self.tokens[self.i - 1].text)
 
     def text(self) -> str:
         if self.now is None or self.now.kind != STRING:
-            raise InvalidSql(f"a string expected{self._where()}")
+            raise UnexpectedToken(f"a string expected{self._where()}")
         self.i += 1
         return self.tokens[self.i - 1].text
 

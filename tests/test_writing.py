@@ -129,7 +129,7 @@ def test_transactions(keyed):
     assert keyed.exec("SELECT count(*) FROM t").rows() == [(1,)]
     keyed.exec("START TRANSACTION; INSERT INTO t (id) VALUES (2); SAVEPOINT a; INSERT INTO t (id) VALUES (3); SAVEPOINT b; DELETE FROM t; ROLLBACK TO SAVEPOINT a; RELEASE a; END")
     assert rows(keyed, "SELECT id FROM t") == [(1,), (2,)]
-    with pytest.raises(errors.NoTransaction):
+    with pytest.raises(errors.NotInTransaction):
         keyed.exec("COMMIT")
     keyed.exec("BEGIN EXCLUSIVE")
     with pytest.raises(errors.TransactionActive):
@@ -215,6 +215,9 @@ def test_db_files(db, tmp_path):
     assert [bytes(r[0]) for r in db.exec("SELECT b FROM p WHERE id = 1").rows()] == [b"\x00\xff"]
     db.exec("DELETE FROM p WHERE id = 5")
     assert rows(db, "SELECT * FROM c") == []
+    (tmp_path / "no.db").write_text("nothing of the kind, " * 99)
+    with pytest.raises(errors.InvalidHeader):
+        import_file(db, str(tmp_path / "no.db"))
     out = str(tmp_path / "b.db")
     export_file(db, out)
     file = sqlite3.connect(out)
