@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, save, text_bytes
 from .components import connected_components
-from .textvec import column_bytes, mix, ngram_hashes, row_blocks, word_hashes
+from .textvec import column_bytes, mix, ngram_hashes, row_blocks, slices, word_hashes
 
 #: Sets that a task joins in one tree; a larger neighbourhood is joined in blocks of so many.
 TREE_SETS = 512
@@ -87,8 +87,7 @@ def _find(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for low in range(0, whole.num_rows, 60_000):
-                batch = whole.slice(low, 60_000)
+            for batch in slices(whole, 1):
                 data, bounds = column_bytes(batch.column(1))
                 sizes, firsts, seconds, members, owners = [], [], [], [], []
                 for i, j in row_blocks(bounds):
