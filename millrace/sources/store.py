@@ -32,7 +32,16 @@ def keep(df: DataFrame, folder: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: What a statement may hold in the driver: frames that Catalyst puts at so many bytes at most, and that have so many rows.
+LOCAL_BYTES, LOCAL_ROWS = 8 << 20, 50_000
+
+
 def scratch(df: DataFrame) -> DataFrame:
+    """df without the plan behind it: a local relation if it is small by Catalyst's estimate, else written and read back."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= LOCAL_BYTES:
+        rows = df.limit(LOCAL_ROWS + 1).toArrow()
+        if rows.num_rows <= LOCAL_ROWS:
+            return df.sparkSession.createDataFrame(rows, df.schema)
     return keep(df, f"{scratch_root(df.sparkSession)}/millrace")[0]
 
 
