@@ -32,9 +32,9 @@ from .textvec import _BYTES, BLOCK_BYTES, column_bytes, mix, powers, row_blocks,
 
 REACH = 64  # bytes among which a window's anchor is chosen
 GRAM = 16  # bytes that are hashed to choose it
-GROUP_RUNS = 1500  # runs that one suffix array takes, about
+GROUP_RUNS = 1000  # runs that one suffix array takes, about
 BUCKET_BYTES = 3_500_000  # of text, whose cores make up one bucket's rows on the average
-HOT_RUNS = 20_000  # runs of one core beyond which its windows are counted by digest, spread over all tasks
+HOT_RUNS = 3_000  # runs of one core beyond which its windows are counted by digest, spread over all tasks
 
 
 def _runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -95,7 +95,7 @@ def _offer(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 1 << 23):
                 data, bounds = column_bytes(batch.column(1))
                 parts = []
                 for i, _, (row, _, _, _, core, ext) in runs(data, bounds, length):
@@ -270,8 +270,8 @@ def repeated_windows(table: pa.Table) -> pa.Table:
     sa, run, offset = sa[whole], run[whole], offset[whole]
     equal = np.zeros(len(sa) + 1, bool)
     step = np.arange(REACH)
-    for a in range(1, len(sa), 50_000):
-        b = min(a + 50_000, len(sa))
+    for a in range(1, len(sa), 10_000):
+        b = min(a + 10_000, len(sa))
         equal[a:b] = (text[sa[a:b, None] + step] == text[sa[a - 1 : b - 1, None] + step]).all(1)
     sure = np.array(table.column("sure").to_pylist(), bool)
     hit = (equal[:-1] | equal[1:]) & ~sure[run]
