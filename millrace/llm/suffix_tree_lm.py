@@ -1,16 +1,22 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The tree's symbols are the frequent words, the end of a document, and classes of the other words by their last two
-bytes. A context is a run of up to ``order`` symbols. It is a candidate if it makes up ``min_share`` of all tokens, and a
+The tree's symbols are the words met ``min_count`` times, the end of a document, and classes of the other words by their
+last two bytes. A context is a run of up to ``order`` symbols. It is a candidate if it is met ``min_count`` times, and a
 node if the counts of what follows it diverge from what its longest node suffix predicts by more than they cost. A
 node's distribution is smoothed with that suffix's; the root's is the add-one estimate. A symbol is scored in the longest
 node that ends what stands before it, and a word of a class takes its share of the class by its own add-one count.
+
+Runs of symbols go by 64-bit hashes. A node's probability of a symbol x is (n + beta p) / (total + beta), with p that of
+its longest node suffix, so its log10 over the root's is a sum over the nodes that end what stands before: ``fall`` =
+log10(beta / (total + beta)) of each, and ``rise`` = log10(1 + n / (beta p)) of each that x was met after. Both lie in one
+distributed table of keys and values, which documents are joined to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
-from .textvec import column_bytes, row_blocks, word_hashes
+from .common import discard, save
+from .textvec import column_bytes, mix, row_blocks, word_hashes
 
-#: Bits of a symbol's number in a context's code; up to four symbols make a code.
-BITS = 15
-_EMPTY = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+#: Bits of a filter, whatever the corpus: one that is full lets more keys through, which the joins then don't find.
+FILTER_BITS = 27
+#: Symbols that are counted at once.
+CHUNK = 1 << 21
+_END, _CLASS, _NODE, _STEP = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142, 0x9E3779B97F4A7C15))
 
 
 def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,123 +42,167 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h.view(np.int64), tail | np.where(end - first > 1, lower(data[end - 2]) << 8, 0) if len(end) else tail, row
 
 
+def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    spot = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return spot, table[spot] == keys
+
+
+class Filter:
+    """A set of 64-bit keys by some of their bits: every key of the set is in it, and some others are."""
+
+    def __init__(self, keys: DataFrame | None = None, name: str = "key"):
+        """keys: distributed; at most 2 ** FILTER_BITS / 64 cells come to the driver."""
+        self.cells = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+        if keys is not None:
+            low = F.col(name).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+            bit = F.expr(f"shiftleft(1L, cast({name} & 63 as int))")
+            found = keys.select(F.shiftright(low, 6).alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+            self.cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.view(np.int64)
+        return (self.cells[(keys & ((1 << FILTER_BITS) - 1)) >> 6] >> (keys & 63)) & 1 == 1
+
+
 @dataclass
 class Symbols:
-    """words: sorted hashes of the frequent words, whose symbols are their places; of_class: the symbol of each class;
-    end: the end's symbol; size: how many there are."""
+    """words: sorted hashes of the words of the tree's head; often: the filter of the words that are symbols of their
+    own, as is a rarer word that it lets through; named: whether a class is a symbol of its own or goes with the rest."""
 
     words: np.ndarray
-    of_class: np.ndarray
-    end: int
-    size: int
+    often: Filter
+    named: np.ndarray
+
+    def of_class(self, tail: np.ndarray) -> np.ndarray:
+        return mix(_CLASS + np.where(self.named[tail], tail + 1, 0).astype(np.uint64))
+
+    def of_words(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        return np.where(self.often.hits(h), h.view(np.uint64), self.of_class(tail))
 
     def sequence(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All documents' symbols, each with its end last, and where each begins."""
         h, tail, row = _words(data, bounds)
         docs = len(bounds) - 1
-        out = np.full(len(h) + docs, self.end, np.int64)
-        at = np.arange(len(h)) + row
-        spot, hit = _lookup(self.words, h)
-        out[at] = np.where(hit, spot, self.of_class[tail])
+        out = np.full(len(h) + docs, _END, np.uint64)
+        out[np.arange(len(h)) + row] = self.of_words(h, tail)
         starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=docs) + 1)))
         return out, starts
 
 
-def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    spot = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return spot, table[spot] == keys
+def _next(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hash of a run of symbols and one more."""
+    return mix((before ^ mix(symbol + _STEP)) * _STEP)
+
+
+_ROOT = np.zeros(1, np.uint64)
 
 
-def contexts(symbols: np.ndarray, starts: np.ndarray, end: int, k: int) -> np.ndarray:
-    """Code of the k symbols before each; -1 where the document has fewer. An end stands before the first symbol."""
-    n = len(symbols)
-    place = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
-    code = np.zeros(n, np.int64)
-    for j in range(k, 0, -1):
-        before = np.full(n, end, np.int64)
-        before[j:] = symbols[:-j] if n > j else symbols[:0]
-        before[place < j] = end
-        code = code << BITS | before
-    code[place < k - 1] = -1
-    return code
+def runs(seq: np.ndarray, starts: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For k = 1 to longest: where k symbols stand before one (an end stands before the first), and the hashes of these k,
+    of them with that symbol, and of the last k with it."""
+    place = np.arange(len(seq)) - np.repeat(starts[:-1], np.diff(starts))
+    first = _next(_ROOT, np.array([_END]))[0]
+    own = _next(_ROOT, seq)
+    for k in range(1, longest + 1):
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[place == 0] = first
+        longer = _next(before, seq)
+        at = np.flatnonzero(place >= k - 1)
+        yield at, before[at], longer[at], own[at]
+        own = longer
 
 
 @dataclass
 class Tree:
-    symbols: Symbols
-    nodes: list[np.ndarray] = field(default_factory=list)  # of each length from 1: sorted codes
-    number: list[np.ndarray] = field(default_factory=list)  # and the row of each in ratio
-    ratio: np.ndarray = None  # log10 of a symbol's probability in a node over that in the root; row 0: the root
+    """The broadcast part of the tree. keys, values: sorted keys of the nodes and of what follows them, and their values;
+    known: the filter of all keys, broadcast or not. nodes: of each length from 1, the sorted hashes of those with a share of
+    all tokens; suffix: the hash of the context that is one symbol shorter, of each context with that share."""
 
-    def gains(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """For each document: log10 of its probability by the tree over that by the root alone."""
+    symbols: Symbols
+    order: int
+    keys: np.ndarray
+    values: np.ndarray
+    known: Filter
+    nodes: list[np.ndarray] = field(default_factory=list)
+    suffix: dict[int, int] = field(default_factory=dict)
+
+    def gains(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each document: log10 of its probability by the tree over that by the root alone, as far as the broadcast
+        values tell; and the keys of what may be added, with their documents."""
         seq, starts = self.symbols.sequence(data, bounds)
-        state = np.zeros(len(seq), np.int64)
-        for k, (codes, rows) in enumerate(zip(self.nodes, self.number, strict=True), 1):
-            spot, hit = _lookup(codes, contexts(seq, starts, self.symbols.end, k))
-            state[hit] = rows[spot[hit]]
-        return np.add.reduceat(self.ratio[state, seq].astype(np.float64), starts[:-1]) if len(starts) > 1 else np.zeros(0)
-
-
-class _Grower:
-    """Adds the nodes of one length after another."""
-
-    def __init__(self, symbols: Symbols, root: np.ndarray, beta: float):
-        self.symbols, self.beta = symbols, beta
-        self.tables, self.nodes, self.number = [root], [], []
-
-    def suffix(self, code: int, k: int) -> int:
-        """The row of the longest node that is a proper suffix of a context of k symbols."""
-        for j in range(k - 1, 0, -1):
-            own = code & ((1 << BITS * j) - 1)
-            spot, hit = _lookup(self.nodes[j - 1], np.array([own]))
-            if hit[0]:
-                return int(self.number[j - 1][spot[0]])
-        return 0
-
-    def add(self, k: int, codes: np.ndarray, which: np.ndarray, after: np.ndarray, n: np.ndarray) -> None:
-        """codes: the candidates; which, after, n: how often what follows each. Sorted by which."""
-        kept, rows = [], []
-        cuts = np.searchsorted(which, np.arange(len(codes) + 1))
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a == b:
-                continue
-            up, count = self.tables[self.suffix(int(codes[i]), k)], n[a:b].astype(float)
-            total = count.sum()
-            gain = float((count * np.log(count / total / up[after[a:b]])).sum())
-            if gain > 0.5 * (b - a) * np.log(total) + 10:
-                own = self.beta * up
-                own[after[a:b]] += count
-                self.tables.append(own / (total + self.beta))
-                kept.append(int(codes[i]))
-                rows.append(len(self.tables) - 1)
-        self.nodes.append(np.array(kept, np.int64))
-        self.number.append(np.array(rows, np.int64))
-
-    def tree(self) -> Tree:
-        root = np.log10(self.tables[0])
-        return Tree(self.symbols, self.nodes, self.number, np.stack([np.log10(t) - root for t in self.tables]).astype(np.float32))
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
-
-
-def _counted(docs: DataFrame, step, names: list[str]) -> DataFrame:
-    """docs has a text column only. step: keys and counts of a block of texts. Each batch adds up its own first."""
+        docs = len(starts) - 1
+        row = np.repeat(np.arange(docs), np.diff(starts))
+        out, keys, rows = np.zeros(docs), [], []
+
+        def add(key: np.ndarray, own: np.ndarray) -> None:
+            spot, hit = _lookup(self.keys, key)
+            out[:] += np.bincount(own[hit], self.values[spot[hit]], docs)
+            keys.append(key[~hit]), rows.append(own[~hit])
+
+        for at, before, pair, _ in runs(seq, starts, self.order):
+            node = (before ^ _NODE).view(np.int64)
+            found = np.flatnonzero(self.known.hits(node))
+            add(node[found], row[at[found]])
+            after = pair[found].view(np.int64)
+            met = self.known.hits(after)
+            add(after[met], row[at[found[met]]])
+        return out, np.concatenate(keys), np.concatenate(rows)
+
+    @property
+    def ratio(self) -> np.ndarray:
+        """To look at: log10 of the probability of each of ``symbols.words``, of a symbol never met there, and of the end in
+        each of ``nodes`` over that in the root, by the broadcast values; row 0 is the root."""
+        after = np.append(self.symbols.words.view(np.uint64), _END)
+        found = {int(x) for codes in self.nodes for x in codes}
+        out = [np.zeros(len(after) + 1)]
+        for codes in self.nodes:
+            for code in codes:
+                own, at = np.zeros(len(after) + 1), int(code)
+                while at is not None:
+                    if at in found:
+                        run = np.array([at], np.int64).view(np.uint64)
+                        spot, hit = _lookup(self.keys, (run ^ _NODE).view(np.int64))
+                        own += self.values[spot[0]] if hit[0] else 0.0
+                        spot, hit = _lookup(self.keys, _next(run, after).view(np.int64))
+                        rise = np.where(hit, self.values[spot], 0.0) if len(self.keys) else np.zeros(len(after))
+                        own += np.concatenate((rise[:-1], [0.0], rise[-1:]))
+                    at = self.suffix.get(at)
+                out.append(own)
+        return np.stack(out)
+
+
+def _count_runs(texts: DataFrame, symbols, k: int, wanted) -> DataFrame:
+    """pair, before, after and n of the runs of k symbols (k + 1 with what follows) whose context ``wanted`` lets through.
+    Runs of several batches are added up first."""
+
+    def add_up(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        pair, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, at, n = np.unique(pair, return_index=True, return_counts=True)
+        cols = [c.view(np.int64) for c in (key, before[at], after[at])] + [n.astype(np.int64)]
+        for a in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["pair", "before", "after", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             data, bounds = column_bytes(batch.column(0))
-            parts = [step(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in row_blocks(bounds)]
-            keys, n = _merged(parts) if parts else _EMPTY
-            for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(n[a : a + 100_000])], names=names)
+            for i, j in row_blocks(bounds):
+                seq, starts = symbols.value.sequence(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                for length, (_, before, pair, after) in enumerate(runs(seq, starts, k), 1):
+                    if length == k:
+                        hit = wanted.value.hits(before) if wanted is not None else slice(None)
+                        held.append((pair[hit], before[hit], after[hit]))
+                        size += len(held[-1][0])
+                if size >= CHUNK:
+                    yield from add_up(held)
+                    held, size = [], 0
+        if held:
+            yield from add_up(held)
 
-    return docs.mapInArrow(work, ", ".join(f"{x} long" for x in names))
+    return texts.mapInArrow(work, "pair long, before long, after long, n long")
 
 
 def _count_words(docs: DataFrame) -> DataFrame:
@@ -179,7 +231,7 @@ def _count_words(docs: DataFrame) -> DataFrame:
 class Model:
     """words: h and n of each training word; often: hashes and counts of those that are broadcast, counted ``often_from``
     times or more; tokens N, distinct V and ends (the training documents); shift: log10((N + V + 1) / (N + V + unknown
-    types)), with one unknown type for each class; the tree."""
+    types)), with one unknown type for each class; the broadcast part of the tree; rest: key and value of all else of it."""
 
     words: DataFrame
     often: tuple[np.ndarray, np.ndarray]
@@ -189,67 +241,103 @@ class Model:
     ends: int
     shift: float
     tree: Tree
+    rest: DataFrame
+
+
+def _with_runs(words: DataFrame, often) -> DataFrame:
+    """words with own: whether each is a symbol of its own, and pair: its hash as a run of one symbol."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            cols = [*batch.columns, pa.array(often.value.hits(h)), pa.array(_next(_ROOT, h.view(np.uint64)).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "tail", "n", "own", "pair"])
+
+    return words.select("h", "tail", "n").mapInArrow(work, "h long, tail int, n long, own boolean, pair long")
 
 
 def train(
-    docs: DataFrame, *, text_col: str = "text", order: int = 3, min_share: float = 2e-4, often_share: float = 2e-7, beta: float = 50.0
+    docs: DataFrame,
+    *,
+    text_col: str = "text",
+    order: int = 3,
+    min_count: int = 10,
+    min_share: float = 2e-4,
+    value_share: float = 2e-6,
+    often_share: float = 2e-7,
+    beta: float = 50.0,
 ) -> Model:
     """Count over all of ``docs`` and grow the tree.
 
-    To the driver come: the words that make up ``often_share`` of all tokens, at most 1 / often_share; counts of at most
-    65,536 classes; and for each length the candidate contexts, at most 1 / min_share, with what follows them. The tree
-    has at most order / min_share nodes and 2 / min_share + 2 symbols, whatever the corpus.
+    Words and contexts met ``min_count`` times are candidates, so the tree grows with the corpus. Runs and their counts,
+    nodes and values stay in distributed tables. To the driver come what is broadcast: the words that make up
+    ``often_share`` of all tokens, at most 1 / often_share; the values counted ``value_share`` of all tokens, at most
+    2 * order / value_share; filters of a fixed size; counts of at most 65,536 classes; and for looking at the tree its
+    contexts that make up ``min_share``. None of the shares changes a score.
     """
-    if 2 / min_share + 2 > 1 << BITS or not 1 <= order <= 4:
-        raise ValueError("min_share is too small, or order not from 1 to 4")
+    if not 1 <= order <= 4:
+        raise ValueError("order not from 1 to 4")
     spark = docs.sparkSession
+    broadcast = spark.sparkContext.broadcast
     texts = docs.select(F.col(text_col).cast("string"))
     ends = texts.count()
     words = save(_count_words(texts).groupBy("h", "tail").agg(F.sum("n").alias("n")), "lm-words")
     total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = total + ends, types + (ends > 0)
-    least = max(2, int(np.ceil(min_share * tokens)))
-    often_from = max(1, int(np.ceil(often_share * tokens)))
+    least = lambda share: max(1, int(np.ceil(share * tokens)))
+    often_from, head_from, values_from = least(often_share), max(min_count, least(min_share)), least(value_share)
     found = words.select("h", "n").where(F.col("n") >= often_from).toArrow()
     h, n = found.column("h").to_numpy(), found.column("n").to_numpy()
     sort = np.argsort(h)
     often = h[sort], n[sort]
 
-    big = often[1] >= least
-    own = often[0][big]
-    classes = words.where(F.col("n") < least).groupBy("tail").agg(F.sum("n"), F.count("*")).collect()
-    classes = sorted((int(t), int(c), int(k)) for t, c, k in classes)
-    named = [x for x in classes if x[1] >= least]
-    rest = [x for x in classes if x[1] < least]
-    of_class = np.full(1 << 16, len(own) + len(named), np.int64)
-    of_class[[t for t, _, _ in named]] = len(own) + np.arange(len(named))
-    symbols = Symbols(own, of_class, len(own) + len(named) + 1, len(own) + len(named) + 2)
-    mass = np.concatenate((often[1][big] + 1.0, [c + k + 1.0 for _, c, k in named], [sum(c + k for _, c, k in rest) + 1.0, ends + 1.0]))
-    grower = _Grower(symbols, mass / mass.sum(), beta)
-
-    shared = spark.sparkContext.broadcast(symbols)
-    codes = np.arange(symbols.size)
+    own = Filter(words.where(F.col("n") >= min_count), "h")
+    head = np.sort(words.where(F.col("n") >= head_from).select("h").toArrow().column("h").to_numpy())
+    flagged = _with_runs(words, broadcast(own))
+    classes = [(int(t), int(c), int(k)) for t, c, k in flagged.where("not own").groupBy("tail").agg(F.sum("n"), F.count("*")).collect()]
+    named = [x for x in classes if x[1] >= min_count]
+    is_named = np.zeros(1 << 16, bool)
+    is_named[[t for t, _, _ in named]] = True
+    symbols = Symbols(head, own, is_named)
+    unknown = len(named) + 1
+    mass = float(tokens + distinct + unknown)
+    others = np.append(symbols.of_class(np.array([t for t, _, _ in named], np.int64)), [mix(np.array([_CLASS]))[0], _END])
+    sizes = [c + k + 1.0 for _, c, k in named] + [sum(c + k for _, c, k in classes if c < min_count) + 1.0, ends + 1.0]
+    known = spark.createDataFrame(pa.table({"pair": _next(_ROOT, others).view(np.int64), "p": np.array(sizes) / mass}))
+    above = flagged.where("own").select("pair", ((F.col("n") + 1) / F.lit(mass)).alias("p")).unionByName(known)
+
+    shared, wanted = broadcast(symbols), None
+    nodes, suffix, parts, tables = [], {}, [], []
     for k in range(1, order + 1):
-        if not len(codes):
+        counts = _count_runs(texts, shared, k, wanted).groupBy("pair").agg(F.min("before").alias("before"), F.min("after").alias("after"), F.sum("n").alias("n"))
+        table = save(counts.join(above.withColumnRenamed("pair", "after"), "after"), f"lm-runs-{k}")
+        tables.append(table)
+        sums = table.groupBy("before").agg(F.sum("n").alias("total"), F.count("*").alias("m"), F.sum(F.col("n") * F.log(F.col("n") / F.col("p"))).alias("g"))
+        size = F.log("total")
+        grown = save(sums.where((F.col("total") >= min_count) & (F.col("g") - F.col("total") * size > 0.5 * F.col("m") * size + 10)).select("before", "total"), f"lm-nodes-{k}")
+        nodes.append(np.sort(grown.where(F.col("total") >= head_from).select("before").toArrow().column("before").to_numpy()))
+        met = table.join(grown, "before", "left")
+        rise = F.log10(1 + F.col("n") / (beta * F.col("p")))
+        parts.append(met.where("total is not null").select(F.col("pair").alias("key"), rise.alias("value"), "n"))
+        fall = F.log10(F.lit(beta) / (F.col("total") + beta))
+        parts.append(grown.select(F.col("before").bitwiseXOR(F.lit(int(_NODE.view(np.int64)))).alias("key"), fall.alias("value"), F.col("total").alias("n")))
+        if k == order:
             break
-        candidates = spark.sparkContext.broadcast(codes)
-
-        def step(data: np.ndarray, bounds: np.ndarray, k: int = k, candidates=candidates) -> tuple[np.ndarray, np.ndarray]:
-            seq, starts = shared.value.sequence(data, bounds)
-            spot, hit = _lookup(candidates.value, contexts(seq, starts, shared.value.end, k))
-            return np.unique(spot[hit] * shared.value.size + seq[hit], return_counts=True)
-
-        counts = _counted(texts, step, ["key", "n"]).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        key, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
-        sort = np.argsort(key)
-        which, after, n = key[sort] // symbols.size, key[sort] % symbols.size, n[sort]
-        enough = np.bincount(which, n, len(codes))[which] >= least
-        grower.add(k, codes, which[enough], after[enough], n[enough])
-        more = (n >= least) & (after != symbols.end)
-        codes = np.unique(codes[which[more]] << BITS | after[more])
-    unknown = len(named) + 1
-    shift = float(np.log10((tokens + distinct + 1) / (tokens + distinct + unknown)))
-    return Model(words, often, often_from, int(tokens), int(distinct), int(ends), shift, grower.tree())
+        above = met.select("pair", F.when(F.col("total").isNull(), F.col("p")).otherwise((F.col("n") + beta * F.col("p")) / (F.col("total") + beta)).alias("p"))
+        candidates = Filter(table.where(F.col("n") >= min_count), "pair")
+        if not candidates.cells.any():
+            break
+        suffix |= {r["pair"]: r["after"] for r in table.where(F.col("n") >= head_from).select("pair", "after").collect()}
+        wanted = broadcast(candidates)
+    values = save(reduce(DataFrame.unionByName, parts), "lm-values")
+    discard(*tables)
+    found = values.where(F.col("n") >= values_from).select("key", "value").toArrow()
+    keys, value = found.column("key").to_numpy(), found.column("value").to_numpy()
+    sort = np.argsort(keys)
+    tree = Tree(symbols, order, keys[sort], value[sort], Filter(values), nodes, suffix)
+    shift = float(np.log10((tokens + distinct + 1) / mass))
+    rest = values.where(F.col("n") < values_from).select("key", "value")
+    return Model(words, often, often_from, int(tokens), int(distinct), int(ends), shift, tree, rest)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,15 +347,16 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     the whole document, where a word not met in training counts as the unknown word of its class. A null or empty text
     is an end only. Repeated rows score alike; null ids are ids like any other; an empty table gives an empty result.
 
-    The tree and the frequent words are broadcast, both of bounded size; other words meet their counts in a join.
+    The frequent words and values are broadcast, both of bounded size; other words and runs meet theirs in a join.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.tree, *model.often))
+    few = model.words.where(F.col("n") < model.often_from)
+    shared = docs.sparkSession.sparkContext.broadcast((model.tree, *model.often, Filter(few, "h")))
     end_log, end_known = float(np.log10(model.ends + 1)), int(model.ends > 0)
-    schema = f"rid long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, logs double, gain double, rare array<long>"
+    schema = f"rid long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, logs double, gain double, far array<long>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, often, counts = shared.value
+        tree, often, counts, rare = shared.value
         logs_of = np.append(np.log10(counts + 1.0), 0.0)
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -277,25 +366,32 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 h, _, row = _words(own, at)
                 keys, back = np.unique(h, return_inverse=True)
                 spot, hit = _lookup(often, keys)
-                value, near = np.where(hit, logs_of[spot], 0.0)[back], hit[back]
+                value, near, away = np.where(hit, logs_of[spot], 0.0)[back], hit[back], (~hit & rare.hits(keys))[back]
                 known = np.bincount(row, near, j - i).astype(np.int64) + end_known
-                ends = np.concatenate(([0], np.cumsum(np.bincount(row[~near], minlength=j - i))))
-                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[~near]))
+                gain, runs_far, docs_far = tree.gains(own, at)
+                far, of = np.concatenate((h[away], runs_far)), np.concatenate((row[away], docs_far))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=j - i))))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(far[np.argsort(of, kind="stable")]))
                 n = np.bincount(row, minlength=j - i) + 1
-                cols = [rid + np.arange(j - i), n, known, np.bincount(row, value, j - i) + end_log, tree.gains(own, at)]
+                cols = [rid + np.arange(j - i), n, known, np.bincount(row, value, j - i) + end_log, gain]
                 rid += j - i
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0]), batch.column(0).slice(i, j - i), *(pa.array(c) for c in cols[1:]), rare],
-                    names=["rid", "doc_id", "n_tokens", "known", "logs", "gain", "rare"],
+                    [pa.array(cols[0]), batch.column(0).slice(i, j - i), *(pa.array(c) for c in cols[1:]), lists],
+                    names=["rid", "doc_id", "n_tokens", "known", "logs", "gain", "far"],
                 )
 
     each = save(source.mapInArrow(work, schema), "lm-scores")
-    far = each.select("rid", F.explode("rare").alias("h"))
-    few = save(model.words.where(F.col("n") < model.often_from).select("h", "n"), "lm-rare")
-    found = far.join(few, "h").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
-    out = each.drop("rare").join(found, "rid", "left")
+    far = each.select("rid", F.explode("far").alias("key"))
+    logs = few.select(F.col("h").alias("key"), F.log10(F.col("n") + 1).alias("value"), F.lit(1).alias("word"))
+    table = logs.unionByName(model.rest.select("key", "value", F.lit(0).alias("word")))
+    of_word = F.col("word") == 1
+    found = far.join(table, "key").groupBy("rid").agg(
+        F.sum("word").alias("more"), F.sum(F.when(of_word, F.col("value"))).alias("more_logs"), F.sum(F.when(~of_word, F.col("value"))).alias("more_gain")
+    )
+    out = each.drop("far").join(found, "rid", "left")
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + model.distinct + 1)))
-    out = out.withColumn("base_score", base).withColumn("score", F.col("base_score") + F.col("n_tokens") * F.lit(model.shift) + F.col("gain"))
+    gain = F.col("gain") + F.coalesce("more_gain", F.lit(0.0))
+    out = out.withColumn("base_score", base).withColumn("score", F.col("base_score") + F.col("n_tokens") * F.lit(model.shift) + gain)
     known = F.col("known") + F.coalesce("more", F.lit(0))
     return out.select("doc_id", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

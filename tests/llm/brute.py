@@ -61,5 +61,54 @@ def unigram(corpus, held_out):
     return {k: (len(x), sum(c[y] > 0 for y in x), n, sum(math.log10((c[y] + 1) / (n + v + 1)) for y in x)) for k, x in w.items()}
 
 
+def suffix_tree(texts, train, least, order=3, beta=50.0):
+    """log10 probability of each text by the tree over words and word classes that grows from the training texts."""
+    tail = lambda w: lower(w).encode()[-2:]
+    c = collections.Counter(w for t in train for w in words(t))
+    often = {w for w in c if c[w] >= least}
+    classes, kinds = collections.Counter(), collections.Counter()
+    for w in c:
+        if w not in often:
+            classes[tail(w)] += c[w]
+            kinds[tail(w)] += 1
+    named = {t for t in classes if classes[t] >= least}
+    symbol = lambda w: w if w in often else (tail(w) if tail(w) in named else "rest") if w is not None else ()
+    unknown = len(named) + 1
+    mass = sum(c.values()) + len(train) + len(c) + 1 + unknown
+    root = {w: (c[w] + 1) / mass for w in often} | {t: (classes[t] + kinds[t] + 1) / mass for t in named}
+    root["rest"] = (sum(classes[t] + kinds[t] for t in classes if t not in named) + 1) / mass
+    root[()] = (len(train) + 1) / mass
+    after = collections.defaultdict(collections.Counter)
+    for t in train:
+        s = [(), *(symbol(w) for w in words(t)), ()]
+        for i in range(1, len(s)):
+            for k in range(1, min(order, i) + 1):
+                after[tuple(s[i - k : i])][s[i]] += 1
+    nodes = {}
+
+    def p(context, x):
+        while context and context not in nodes:
+            context = context[1:]
+        if not context:
+            return root[x]
+        total, n = nodes[context]
+        return (n[x] + beta * p(context[1:], x)) / (total + beta)
+
+    for k in range(1, order + 1):
+        for context, n in after.items():
+            total = sum(n.values())
+            if len(context) == k and total >= least:
+                gain = sum(n[x] * math.log(n[x] / total / p(context[1:], x)) for x in n)
+                if gain > 0.5 * len(n) * math.log(total) + 10:
+                    nodes[context] = total, n
+    out = []
+    for t in texts:
+        w = [*words(t), None]
+        s = [(), *(symbol(x) for x in w)]
+        own = sum(math.log10(p(tuple(s[max(0, i - order) : i]), s[i]) / root[s[i]]) for i in range(1, len(s)))
+        out.append(own + sum(math.log10(((len(train) if x is None else c[x]) + 1) / mass) for x in w))
+    return out, len(nodes)
+
+
 def fold(key, modulus):
     return zlib.crc32(str(key).encode()) % modulus

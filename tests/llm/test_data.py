@@ -208,6 +208,26 @@ def test_lm_tree(spark):
     assert r["score"] < r["base_score"]
 
 
+def test_lm_tree_brute(docs, corpus):
+    """Every context met min_count times counts; what is broadcast and what is joined give the same."""
+    held = lambda k: brute.fold(k, 7) == 2
+    want, nodes = brute.suffix_tree([t for _, t in corpus], [t for k, t in corpus if not held(k)], 10)
+    assert nodes > 20
+    want = dict(zip((k for k, _ in corpus), want, strict=True))
+    train = docs.where(~suffix_tree_lm.in_fold(docs.doc_id))
+    for options in ({}, {"value_share": 1.0}, {"value_share": 5e-3, "often_share": 0.5, "min_share": 0.5}):
+        rows = suffix_tree_lm.score(docs, suffix_tree_lm.train(train, **options)).collect()
+        assert {r["doc_id"]: r["score"] for r in rows} == pytest.approx(want, rel=1e-5, abs=1e-4)
+
+
+def test_lm_grows_with_corpus(spark):
+    """A pair of words met 12 times is learnt however many tokens stand around it."""
+    rows = [(i, " ".join(f"first{j}x second{j}x" for j in range(i % 100, 3000, 100))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    r = suffix_tree_lm.score(df, suffix_tree_lm.train(df)).where("doc_id = 0").first()
+    assert r["score"] > r["base_score"] + 60
+
+
 def test_lm_odd(odd, empty):
     model = suffix_tree_lm.train(empty)
     assert suffix_tree_lm.score(empty, model).count() == 0
