@@ -6,14 +6,16 @@ Writing makes one file, so it is the driver's work, row by row from the executor
 
 from __future__ import annotations
 
+import math
 import sqlite3
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..catalog import RID
+from ..catalog import RID, Column, Trigger
 from ..errors import InvalidHeader, InvalidRecord
 from ..operators import dml
 from ..types import affinity, declared_type, spark_type
@@ -122,12 +124,41 @@ def import_file(db: object, path: str) -> list[str]:
     return names
 
 
+def _default(spark: SparkSession, column: Column) -> str:
+    """A column's default as the file's SQL."""
+    if column.default.strip().removesuffix("()").upper() in ("CURRENT_TIMESTAMP", "CURRENT_DATE", "CURRENT_TIME"):
+        return column.default.strip().removesuffix("()").upper()
+    value = spark.range(1).select(F.expr(column.default).cast(column.type)).first()[0]
+    if value is None or (isinstance(value, float) and math.isnan(value)):
+        return "NULL"
+    if isinstance(value, (str, bytes, bytearray)):
+        kind, raw = ("TEXT", value.encode()) if isinstance(value, str) else ("BLOB", bytes(value))
+        try:
+            text = "'" + raw.decode().replace("'", "''") + "'"
+        except UnicodeDecodeError:
+            text = None
+        if text is None or "\0" in text:
+            return f"(CAST(unhex('{raw.hex()}') AS {kind}))"
+        return text if kind == "TEXT" else f"(CAST({text} AS BLOB))"
+    return f"{'-' * (value < 0)}9e999" if isinstance(value, float) and math.isinf(value) else repr(value)
+
+
+def trigger_sql(t: Trigger) -> str:
+    """The CREATE TRIGGER that makes a trigger of the catalog."""
+    of = f" OF {', '.join(map(_quote, t.of))}" if t.of else ""
+    when = f" WHEN {t.when.strip()}" if t.when else ""
+    body = t.body.strip()
+    return f"CREATE TRIGGER {_quote(t.name)} {t.timing} {t.event}{of} ON {_quote(t.table)} FOR EACH ROW{when} BEGIN {body}{'' if body.endswith(';') else ';'} END"
+
+
 def table_sql(state: object, name: str) -> str:
     """The CREATE TABLE that makes a table of the catalog."""
     table = state.table(name)
     parts = []
     for c in table.columns:
         text = f"{_quote(c.name)} {c.declared or declared_type(c.type)}" + (" NOT NULL" if c.not_null else "")
+        if c.default is not None:
+            text += f" DEFAULT {_default(table.df.sparkSession, c)}"
         parts.append(text)
     for k in table.keys:
         if k.index is None:
@@ -140,7 +171,7 @@ def table_sql(state: object, name: str) -> str:
 
 
 def export_file(db: object, path: str) -> None:
-    """Write tables, indexes and views to a new .db file."""
+    """Write tables, indexes, views and triggers to a new .db file."""
     out = sqlite3.connect(path)
     try:
         out.execute(f"PRAGMA user_version = {db.state.user_version}")
@@ -154,6 +185,8 @@ def export_file(db: object, path: str) -> None:
             out.execute(f"CREATE {'UNIQUE ' * i.unique}INDEX {_quote(i.name)} ON {_quote(i.table)} ({', '.join(map(_quote, i.columns))})")
         for v in db.state.views.values():
             out.execute(f"CREATE VIEW {_quote(v.name)} AS {v.sql}")
+        for t in db.state.triggers.values():
+            out.execute(trigger_sql(t))
         out.commit()
     finally:
         out.close()

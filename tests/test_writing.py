@@ -224,3 +224,32 @@ def test_db_files(db, tmp_path):
     assert file.execute("SELECT * FROM p").fetchall() == [(1, "é", 1.5, b"\x00\xff")]
     assert file.execute("SELECT name FROM v").fetchall() == [("é",)]
     file.close()
+
+
+def test_db_files_keep_defaults_and_triggers(db, spark, tmp_path):
+    from millrace import Database
+    from millrace.sources.db_file import export_file, import_file
+
+    db.exec("CREATE TABLE d (id INTEGER PRIMARY KEY, n INTEGER DEFAULT -3, x REAL DEFAULT 1.5, s TEXT NOT NULL DEFAULT 'it''s; é', z TEXT DEFAULT NULL, b BLOB DEFAULT 'ab')")
+    db.exec("CREATE TABLE log (id INTEGER, was INTEGER, now INTEGER)")
+    db.exec("CREATE TRIGGER ins AFTER INSERT ON d BEGIN INSERT INTO log VALUES (NEW.id, NULL, NEW.n); END")
+    db.exec("CREATE TRIGGER upd AFTER UPDATE OF n ON d FOR EACH ROW WHEN NEW.n > 5 BEGIN INSERT INTO log VALUES (NEW.id, OLD.n, NEW.n); DELETE FROM log WHERE id = 99; END")
+    db.exec("INSERT INTO d (id) VALUES (1)")
+    out = str(tmp_path / "d.db")
+    export_file(db, out)
+
+    file = sqlite3.connect(out)
+    file.execute("INSERT INTO d (id) VALUES (2)")
+    file.execute("UPDATE d SET n = 9 WHERE id = 2")
+    assert file.execute("SELECT n, x, s, z, b FROM d WHERE id = 2").fetchall() == [(9, 1.5, "it's; é", None, b"ab")]
+    assert file.execute("SELECT * FROM log").fetchall() == [(1, None, -3), (2, None, -3), (2, -3, 9)]
+    file.close()
+
+    export_file(db, str(tmp_path / "e.db"))
+    with Database(spark) as other:
+        import_file(other, str(tmp_path / "e.db"))
+        other.exec("INSERT INTO d (id) VALUES (3)")
+        other.exec("UPDATE d SET n = n + 10 WHERE id = 3")
+        other.exec("UPDATE d SET n = 0 WHERE id = 3")
+        assert other.exec("SELECT n, x, s, z FROM d WHERE id = 3").rows() == [(0, 1.5, "it's; é", None)]
+        assert other.exec("SELECT * FROM log ORDER BY id, now").rows() == [(1, None, -3), (3, None, -3), (3, -3, 7)]
