@@ -479,6 +479,8 @@ class Database:
                     finally:
                         self._view_name = old
                     continue
+            if uses and self._at_once(tokens, delta, column):
+                continue
             # otherwise once for each row, whose values stand in as literals
             rows = delta.orderBy(*(c for c in delta.columns if c.endswith(RID))).limit(TRIGGER_ROWS + 1).collect() if uses else [None]
             if len(rows) > TRIGGER_ROWS:
@@ -493,6 +495,86 @@ class Database:
 
                 self._run("", tokens, Params(), value)
 
+    def _at_once(self, tokens: list[Token], delta: DataFrame, column: Callable) -> bool:
+        """Run an UPDATE, DELETE or INSERT ... SELECT of a trigger for all rows by a join, where that is the same as once for
+        each in turn; False: nothing was done, as the order may matter."""
+        r = Reader(tokens)
+        verb = "UPDATE" if r.accept("UPDATE") else "DELETE" if r.accept("DELETE", "FROM") else "INSERT" if r.accept("INSERT", "INTO") else None
+        if verb is None or r.now is None or r.now.is_("OR"):
+            return False
+        table = self.state.tables.get(r.name().lower())
+        if table is None or table.series or any(t.table.lower() == table.name.lower() and t.event == verb for t in self.state.triggers.values()):
+            return False
+
+        def outer(owner: str, name: str) -> str | None:
+            known = column(owner, name)
+            return None if known is None else f"mr_delta.{known}"
+
+        order = [c for c in delta.columns if c.endswith(RID)]
+        if verb == "INSERT":
+            k = next((k for k, t in enumerate(tokens) if t.is_("SELECT")), None)
+            # what it reads mustn't be what it writes, which a view or a foreign key to itself may hide
+            read = {t.text.lower() for t in tokens[k or 0 :] if t.named}
+            itself = any(f.parent.lower() == table.name.lower() for f in table.foreign)
+            if k is None or itself or table.name.lower() in read or read & set(self.state.views) or any(t.is_("CONFLICT", "WITH") for t in tokens):
+                return False
+            view = self._temp(f"delta {uuid.uuid4().hex}", delta)
+            # stored first: Spark takes no plan that numbers rows into a lateral subquery
+            stored = {n: self._temp(f"delta {uuid.uuid4().hex}", scratch(self.state.tables[n].df.drop(RID))) for n in read & set(self.state.tables)}
+            old, self._view_name = self._view_name, lambda n, hidden=False, base=self._view_name: stored.get(n.lower()) or base(n, hidden)
+            try:
+                made = self._rewriter(Params(), outer).sql(tokens[k:])
+            finally:
+                self._view_name = old
+            try:
+                df = self.spark.sql(f"SELECT mr_rows.* FROM {view} AS mr_delta, LATERAL ({made}) AS mr_rows ORDER BY {', '.join(f'mr_delta.`{c}`' for c in order)}")
+                hold = self._temp(f"delta {uuid.uuid4().hex}", scratch(df))
+            except AnalysisException:
+                return False
+            old, self._view_name = self._view_name, lambda n, hidden=False, base=self._view_name: hold if n == "mr_delta" else base(n, hidden)
+            try:
+                self._run("", [*tokens[:k], Token("word", "SELECT", 0), Token("op", "*", 0), Token("word", "FROM", 0), Token("word", "mr_delta", 0)], Params())
+            finally:
+                self._view_name = old
+            return True
+
+        if any(t.is_("SELECT") for t in tokens) or self.state.children(table.name):
+            return False
+        sets = {}
+        if verb == "UPDATE":
+            if not r.accept("SET"):
+                return False
+            sets = self._assignments(table, r.until("FROM", "WHERE"))
+        where = r.rest() if r.accept("WHERE") else []
+        if r.now is not None:
+            return False
+        changed = {c.lower() for c in sets}
+        if changed & {c.lower() for k in table.keys for c in k.columns}:
+            return False
+        own = lambda k: not (k > 1 and where[k - 1].op(".") and where[k - 2].is_("NEW", "OLD"))
+        if any(t.named and t.text.lower() in changed and own(k) for k, t in enumerate(where)):
+            return False
+        rewriter = self._rewriter(Params(), outer, hidden=table.name.lower())
+        values = "".join(f", {rewriter.sql(t)} AS `u_{c}`" for c, t in sets.items())
+        view = self._temp(f"delta {uuid.uuid4().hex}", delta)
+        text = f"SELECT `{table.name}`.`{RID}`{values} " + rewriter.sql([Token("word", "FROM", 0), Token("word", table.name, 0)])
+        try:
+            found = self.spark.sql(f"{text} CROSS JOIN {view} AS mr_delta" + (" WHERE " + rewriter.sql(where) if where else ""))
+        except AnalysisException:
+            # such as a bare column of the table that is named like one of the changed rows'
+            return False
+        if verb == "DELETE":
+            victims = scratch(found.distinct())
+            self._write(lambda s: dml.delete(s, table.name, victims))
+            return True
+        found = scratch(found)
+        if not found.groupBy(RID).count().where("count > 1").isEmpty():
+            return False
+        kinds = {f.name: f.dataType for f in found.schema}
+        updates = scratch(found.select(RID, *(coerce(F.col(f"`u_{c}`"), kinds[f"u_{c}"], table.column(c).type, f"{table.name}.{c}").alias(f"u_{c}") for c in sets)))
+        self._write(lambda s: dml.update(s, table.name, updates, list(sets)))
+        return True
+
     # Schema
 
     def _do_create(self, r: Reader, params: Params, sql: str, columns: Callable | None) -> Result:

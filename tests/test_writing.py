@@ -253,3 +253,22 @@ def test_db_files_keep_defaults_and_triggers(db, spark, tmp_path):
         other.exec("UPDATE d SET n = 0 WHERE id = 3")
         assert other.exec("SELECT n, x, s, z FROM d WHERE id = 3").rows() == [(0, 1.5, "it's; é", None)]
         assert other.exec("SELECT * FROM log ORDER BY id, now").rows() == [(1, None, -3), (3, None, -3), (3, -3, 7)]
+
+
+def test_trigger_bodies_over_many_rows(db):
+    """Over 10,000 rows; what depends on the order still goes row by row."""
+    db.exec(
+        "CREATE TABLE t (id INTEGER, g INTEGER); CREATE TABLE copy (id INTEGER, g INTEGER); CREATE TABLE names (g INTEGER, name TEXT); CREATE TABLE log (id INTEGER, name TEXT, n INTEGER);"
+        "CREATE TABLE totals (g INTEGER, n INTEGER); INSERT INTO totals VALUES (0, 0), (1, 0); INSERT INTO names VALUES (0, 'zero'), (1, 'one');"
+        "CREATE VIRTUAL TABLE s USING generate_series(1, 10050); INSERT INTO t SELECT value, value % 2 FROM s; INSERT INTO copy SELECT id, g FROM t;"
+        "CREATE TRIGGER u AFTER UPDATE ON t BEGIN UPDATE copy SET g = copy.g + NEW.g WHERE copy.id = OLD.id;"
+        "  INSERT INTO log SELECT NEW.id, name, OLD.g FROM names WHERE names.g = NEW.g; INSERT INTO log SELECT 0, 'count', count(*) FROM names WHERE names.g < OLD.g; END;"
+        "CREATE TRIGGER d AFTER DELETE ON t BEGIN DELETE FROM copy WHERE copy.id = OLD.id; END;"
+        "UPDATE t SET g = 1"
+    )
+    assert db.exec("SELECT sum(g), count(*) FROM copy").rows() == [(5025 + 10050, 10050)]
+    assert rows(db, "SELECT name, count(*), sum(n), count(DISTINCT id) FROM log GROUP BY name") == sorted([("one", 10050, 5025, 10050), ("count", 10050, 5025, 1)], key=str)
+    db.exec("DELETE FROM t WHERE id > 5")
+    assert rows(db, "SELECT id FROM copy") == [(1,), (2,), (3,), (4,), (5,)]
+    db.exec("CREATE TRIGGER sum AFTER INSERT ON t BEGIN UPDATE totals SET n = totals.n + NEW.id WHERE totals.g = NEW.g; END; INSERT INTO t VALUES (10, 1), (20, 1), (5, 0)")
+    assert rows(db, "SELECT * FROM totals") == [(0, 5), (1, 30)]
