@@ -66,7 +66,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = suffix_tree_lm.in_fold(F.col("doc_id"), 7, 2)
-    scores = suffix_tree_lm.score(docs, suffix_tree_lm.train(docs.where(~held_out)))
+    scores = suffix_tree_lm.suffix_tree_scores(docs, ~held_out)
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -1,22 +1,26 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The tree's symbols are the words met ``min_count`` times, the end of a document, and classes of the other words by their
-last two bytes. A context is a run of up to ``order`` symbols. It is a candidate if it is met ``min_count`` times, and a
-node if the counts of what follows it diverge from what its longest node suffix predicts by more than they cost. A
-node's distribution is smoothed with that suffix's; the root's is the add-one estimate. A symbol is scored in the longest
-node that ends what stands before it, and a word of a class takes its share of the class by its own add-one count.
-
-Runs of symbols go by 64-bit hashes. A node's probability of a symbol x is (n + beta p) / (total + beta), with p that of
-its longest node suffix, so its log10 over the root's is a sum over the nodes that end what stands before: ``fall`` =
-log10(beta / (total + beta)) of each, and ``rise`` = log10(1 + n / (beta p)) of each that x was met after. Both lie in one
-distributed table of keys and values, which documents are joined to.
+The tree's symbols are the words met ``min_word`` times, the end of a document, and classes of the other words by their
+last two bytes. A context is a run of up to ``order`` symbols, read backwards from the symbol that it stands before. It is
+a node if it is met ``min_context`` times and what follows it diverges from what its longest node suffix predicts by more
+than the description of that costs (a test on the gain in log likelihood). In a node's distribution a symbol that
+followed twice or more keeps its count less a discount; all else goes to the suffix's prediction:
+
+    P(x | c) = max(n(x) - discount, 0) / n + rest / n * P(x | longest node suffix of c)
+
+where symbols that followed once count to the rest, so that a document's own words don't predict themselves. The root is
+the add-one estimate. A symbol is scored in the longest node that ends what stands before it, and a word of a class takes
+its share of the class by its own add-one count.
+
+The tree is never brought together. The subtree of all contexts that end in one symbol is grown in the one bucket to
+which all places after that symbol go, and the places are scored there. Places go as packed columns, a row for each
+bucket and block of documents; the sums for the documents come back the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +28,29 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save
-from .textvec import column_bytes, mix, row_blocks, word_hashes
+from .common import discard, save, settled
+from .textvec import column_bytes, mix, powers, row_blocks, word_hashes
 
-#: Bits of a filter, whatever the corpus: one that is full lets more keys through, which the joins then don't find.
+#: Bits of a filter, whatever the corpus: one that is full takes rarer words for symbols of their own, no more.
 FILTER_BITS = 27
-#: Symbols that are counted at once.
-CHUNK = 1 << 21
-_END, _CLASS, _NODE, _STEP = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142, 0x9E3779B97F4A7C15))
+#: Places that a block of documents holds, if it isn't one document; and that a bucket holds on average. A symbol with
+#: more places than that has them dealt to several buckets by the symbol before it.
+BLOCK_PLACES = 1 << 20
+BUCKET_PLACES = 1 << 20
+
+# Symbols: no symbol (before a document's begin), the end, words by falling frequency, classes from CLASSES on, and other
+# words by their hash with the top bit set.
+_NONE, _END, _WORDS, _CLASSES, _TOP = 0, 1, 2, 1 << 24, np.uint64(1 << 63)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, class (the last two bytes, A-Z lower-cased) and row of every word."""
     h, row, first, end = word_hashes(data, bounds)
+    if not len(h):
+        return h.view(np.int64), np.zeros(0, np.int64), row
     lower = lambda b: np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.int64)
-    tail = lower(data[end - 1]) if len(end) else np.zeros(0, np.int64)
-    return h.view(np.int64), tail | np.where(end - first > 1, lower(data[end - 2]) << 8, 0) if len(end) else tail, row
+    return h.view(np.int64), lower(data[end - 1]) | np.where(end - first > 1, lower(data[end - 2]) << 8, 0), row
 
 
 def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,160 +63,115 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Filter:
     """A set of 64-bit keys by some of their bits: every key of the set is in it, and some others are."""
 
-    def __init__(self, keys: DataFrame | None = None, name: str = "key"):
+    def __init__(self, keys: DataFrame, name: str):
         """keys: distributed; at most 2 ** FILTER_BITS / 64 cells come to the driver."""
         self.cells = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-        if keys is not None:
-            low = F.col(name).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-            bit = F.expr(f"shiftleft(1L, cast({name} & 63 as int))")
-            found = keys.select(F.shiftright(low, 6).alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-            self.cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+        low = F.col(name).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        bit = F.expr(f"shiftleft(1L, cast({name} & 63 as int))")
+        found = keys.select(F.shiftright(low, 6).alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
 
     def hits(self, keys: np.ndarray) -> np.ndarray:
-        keys = keys.view(np.int64)
         return (self.cells[(keys & ((1 << FILTER_BITS) - 1)) >> 6] >> (keys & 63)) & 1 == 1
 
 
 @dataclass
-class Symbols:
-    """words: sorted hashes of the words of the tree's head; often: the filter of the words that are symbols of their
-    own, as is a rarer word that it lets through; named: whether a class is a symbol of its own or goes with the rest."""
-
-    words: np.ndarray
-    often: Filter
+class Vocabulary:
+    """often, counts, symbol: sorted hashes of the broadcast words, their counts, and their symbols (0: by class); own: the
+    filter of further words that are symbols; named: the classes that are symbols of their own, the others go together;
+    words, classes: root probabilities by symbol; other: that of each further word; met: counts by symbol."""
+
+    often: np.ndarray
+    counts: np.ndarray
+    symbol: np.ndarray
+    own: Filter
     named: np.ndarray
+    words: np.ndarray
+    classes: np.ndarray
+    other: float
+    ends: int
+    mass: float
 
-    def of_class(self, tail: np.ndarray) -> np.ndarray:
-        return mix(_CLASS + np.where(self.named[tail], tail + 1, 0).astype(np.uint64))
+    def symbols(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol of each word, its place in ``often`` and whether it is there, and whether it is a further word."""
+        spot, near = _lookup(self.often, h)
+        sym = np.where(near, self.symbol[spot] if len(self.symbol) else 0, 0).astype(np.uint64)
+        far = ~near & self.own.hits(h)
+        by_class = (sym == 0) & ~far
+        sym[by_class] = (_CLASSES + np.where(self.named[tail[by_class]], tail[by_class] + 1, 0)).astype(np.uint64)
+        sym[far] = h[far].view(np.uint64) | _TOP
+        return sym, spot, near, far
 
-    def of_words(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        return np.where(self.often.hits(h), h.view(np.uint64), self.of_class(tail))
+    def root(self, sym: np.ndarray) -> np.ndarray:
+        out = np.full(len(sym), self.other)
+        near, kind = sym < np.uint64(len(self.words)), (sym >= np.uint64(_CLASSES)) & (sym < np.uint64(_CLASSES + len(self.classes)))
+        out[near] = self.words[sym[near].astype(np.int64)]
+        out[kind] = self.classes[sym[kind].astype(np.int64) - _CLASSES]
+        return out
 
-    def sequence(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All documents' symbols, each with its end last, and where each begins."""
-        h, tail, row = _words(data, bounds)
-        docs = len(bounds) - 1
-        out = np.full(len(h) + docs, _END, np.uint64)
-        out[np.arange(len(h)) + row] = self.of_words(h, tail)
-        starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=docs) + 1)))
-        return out, starts
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned 64-bit integers as compressed byte planes: small numbers take few bytes."""
+    planes = np.stack([c.astype(np.uint64, copy=False) for c in columns]).view(np.uint8).reshape(len(columns), -1, 8)
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(planes.transpose(0, 2, 1)), asbytes=True)
 
-def _next(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Hash of a run of symbols and one more."""
-    return mix((before ^ mix(symbol + _STEP)) * _STEP)
 
+def _unpack(data: bytes, columns: int, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=columns * n * 8), np.uint8)
+    return np.ascontiguousarray(raw.reshape(columns, 8, n).transpose(0, 2, 1)).view(np.uint64).reshape(columns, n)
 
-_ROOT = np.zeros(1, np.uint64)
 
+def _apart(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, from zero, without a sign; np.cumsum takes them back."""
+    return np.diff(x.astype(np.uint64), prepend=np.uint64(0))
 
-def runs(seq: np.ndarray, starts: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For k = 1 to longest: where k symbols stand before one (an end stands before the first), and the hashes of these k,
-    of them with that symbol, and of the last k with it."""
-    place = np.arange(len(seq)) - np.repeat(starts[:-1], np.diff(starts))
-    first = _next(_ROOT, np.array([_END]))[0]
-    own = _next(_ROOT, seq)
-    for k in range(1, longest + 1):
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[place == 0] = first
-        longer = _next(before, seq)
-        at = np.flatnonzero(place >= k - 1)
-        yield at, before[at], longer[at], own[at]
-        own = longer
 
+def contexts(seq: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each place of documents' symbols the one before it, the one before that and so on; an end before the first."""
+    out = []
+    for k in range(1, order + 1):
+        c = np.zeros(len(seq), np.uint64)
+        c[k:] = seq[:-k]
+        c[place == k - 1] = _END
+        c[place < k - 1] = _NONE
+        out.append(c)
+    return out
 
-@dataclass
-class Tree:
-    """The broadcast part of the tree. keys, values: sorted keys of the nodes and of what follows them, and their values;
-    known: the filter of all keys, broadcast or not. nodes: of each length from 1, the sorted hashes of those with a share of
-    all tokens; suffix: the hash of the context that is one symbol shorter, of each context with that share."""
-
-    symbols: Symbols
-    order: int
-    keys: np.ndarray
-    values: np.ndarray
-    known: Filter
-    nodes: list[np.ndarray] = field(default_factory=list)
-    suffix: dict[int, int] = field(default_factory=dict)
-
-    def gains(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each document: log10 of its probability by the tree over that by the root alone, as far as the broadcast
-        values tell; and the keys of what may be added, with their documents."""
-        seq, starts = self.symbols.sequence(data, bounds)
-        docs = len(starts) - 1
-        row = np.repeat(np.arange(docs), np.diff(starts))
-        out, keys, rows = np.zeros(docs), [], []
-
-        def add(key: np.ndarray, own: np.ndarray) -> None:
-            spot, hit = _lookup(self.keys, key)
-            out[:] += np.bincount(own[hit], self.values[spot[hit]], docs)
-            keys.append(key[~hit]), rows.append(own[~hit])
-
-        for at, before, pair, _ in runs(seq, starts, self.order):
-            node = (before ^ _NODE).view(np.int64)
-            found = np.flatnonzero(self.known.hits(node))
-            add(node[found], row[at[found]])
-            after = pair[found].view(np.int64)
-            met = self.known.hits(after)
-            add(after[met], row[at[found[met]]])
-        return out, np.concatenate(keys), np.concatenate(rows)
-
-    @property
-    def ratio(self) -> np.ndarray:
-        """To look at: log10 of the probability of each of ``symbols.words``, of a symbol never met there, and of the end in
-        each of ``nodes`` over that in the root, by the broadcast values; row 0 is the root."""
-        after = np.append(self.symbols.words.view(np.uint64), _END)
-        found = {int(x) for codes in self.nodes for x in codes}
-        out = [np.zeros(len(after) + 1)]
-        for codes in self.nodes:
-            for code in codes:
-                own, at = np.zeros(len(after) + 1), int(code)
-                while at is not None:
-                    if at in found:
-                        run = np.array([at], np.int64).view(np.uint64)
-                        spot, hit = _lookup(self.keys, (run ^ _NODE).view(np.int64))
-                        own += self.values[spot[0]] if hit[0] else 0.0
-                        spot, hit = _lookup(self.keys, _next(run, after).view(np.int64))
-                        rise = np.where(hit, self.values[spot], 0.0) if len(self.keys) else np.zeros(len(after))
-                        own += np.concatenate((rise[:-1], [0.0], rise[-1:]))
-                    at = self.suffix.get(at)
-                out.append(own)
-        return np.stack(out)
-
-
-def _count_runs(texts: DataFrame, symbols, k: int, wanted) -> DataFrame:
-    """pair, before, after and n of the runs of k symbols (k + 1 with what follows) whose context ``wanted`` lets through.
-    Runs of several batches are added up first."""
-
-    def add_up(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        pair, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
-        key, at, n = np.unique(pair, return_index=True, return_counts=True)
-        cols = [c.view(np.int64) for c in (key, before[at], after[at])] + [n.astype(np.int64)]
-        for a in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["pair", "before", "after", "n"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            data, bounds = column_bytes(batch.column(0))
-            for i, j in row_blocks(bounds):
-                seq, starts = symbols.value.sequence(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                for length, (_, before, pair, after) in enumerate(runs(seq, starts, k), 1):
-                    if length == k:
-                        hit = wanted.value.hits(before) if wanted is not None else slice(None)
-                        held.append((pair[hit], before[hit], after[hit]))
-                        size += len(held[-1][0])
-                if size >= CHUNK:
-                    yield from add_up(held)
-                    held, size = [], 0
-        if held:
-            yield from add_up(held)
-
-    return texts.mapInArrow(work, "pair long, before long, after long, n long")
-
-
-def _count_words(docs: DataFrame) -> DataFrame:
+def grow(before: list[np.ndarray], after: np.ndarray, weights: list[np.ndarray], root: np.ndarray, min_context: int, gain: float, discount: float) -> tuple[np.ndarray, int]:
+    """log10 of the probability of each place's symbol by the tree over that by the root, and the number of nodes.
+
+    before: for each place the symbols before it, the nearest first; weights: how often each place was met in training, as
+    far as it counts for contexts of one symbol, of two and so on; root: the root's probability of the place's symbol.
+    """
+    p, nodes = root.copy(), 0
+    run = np.zeros(len(after), np.uint64)
+    for c, weight in zip(before, weights, strict=True):
+        run = mix((run ^ mix(c + _STEP)) * _STEP)
+        at = np.flatnonzero(c != _NONE)
+        if not len(at):
+            break
+        _, first, pair = np.unique(mix((run[at] ^ mix(after[at] + _STEP)) * _STEP), return_index=True, return_inverse=True)
+        n = np.bincount(pair, weight[at], len(first))
+        own, suffix = run[at[first]], p[at[first]]
+        _, ctx = np.unique(own, return_inverse=True)
+        total = np.bincount(ctx, n)
+        kept = n >= 2
+        seen = np.bincount(ctx[kept], n[kept], len(total))
+        kinds = np.bincount(ctx[kept], minlength=len(total))
+        single, left = total - seen, np.maximum(1 - np.bincount(ctx[kept], suffix[kept], len(total)), 1e-9)
+        safe = np.maximum(total, 1)
+        won = np.bincount(ctx[kept], n[kept] * np.log(n[kept] / (safe[ctx[kept]] * suffix[kept])), len(total))
+        won += np.where(single > 0, single * np.log(np.maximum(single, 1) / (safe * left)), 0)
+        node = (total >= min_context) & (kinds > 0) & (won > 0.5 * (kinds + (single > 0)) * np.log(safe) + gain)
+        nodes += int(node.sum())
+        rest = (single + discount * kinds) / safe
+        now = np.where(kept, n - discount, 0) / safe[ctx] + rest[ctx] * suffix
+        p[at] = np.where(node[ctx], now, suffix)[pair]
+    return np.log10(p / root), nodes
+
+
+def _count_words(texts: DataFrame) -> DataFrame:
     """h, class and n of every word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,176 +190,338 @@ def _count_words(docs: DataFrame) -> DataFrame:
                     cut = slice(a, a + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(own[cut]), pa.array(tail[at][cut].astype(np.int32)), pa.array(n[cut])], names=["h", "tail", "n"])
 
-    return docs.mapInArrow(work, "h long, tail int, n long")
+    return texts.mapInArrow(work, "h long, tail int, n long")
 
 
-@dataclass
-class Model:
-    """words: h and n of each training word; often: hashes and counts of those that are broadcast, counted ``often_from``
-    times or more; tokens N, distinct V and ends (the training documents); shift: log10((N + V + 1) / (N + V + unknown
-    types)), with one unknown type for each class; the broadcast part of the tree; rest: key and value of all else of it."""
-
-    words: DataFrame
-    often: tuple[np.ndarray, np.ndarray]
-    often_from: int
-    tokens: int
-    distinct: int
-    ends: int
-    shift: float
-    tree: Tree
-    rest: DataFrame
+def _own(words: DataFrame, filter_) -> DataFrame:
+    """words with own: whether the filter lets a word through."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = filter_.value.hits(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(hits)], names=["tail", "n", "own"])
+
+    return words.select("h", "tail", "n").mapInArrow(work, "tail int, n long, own boolean")
+
+
+def _vocabulary(words: DataFrame, ends: int, often_from: int, min_word: int) -> Vocabulary:
+    """To the driver come the words counted ``often_from`` times, a filter of fixed size, and counts of 65,536 classes."""
+    found = words.select("h", "n", "tail").where(F.col("n") >= often_from).toArrow()
+    h, n, tail = (found.column(c).to_numpy() for c in ("h", "n", "tail"))
+    sort = np.argsort(h)
+    h, n, tail = h[sort], n[sort], tail[sort]
+    ranked = np.lexsort((h, -n))
+    ranked = ranked[n[ranked] >= min_word]
+    symbol = np.zeros(len(h), np.uint64)
+    symbol[ranked] = np.arange(len(ranked), dtype=np.uint64) + np.uint64(_WORDS)
+    rare = words.where(F.col("n") < often_from)
+    own = Filter(rare.where(F.col("n") >= min_word), "h")
+    spark = words.sparkSession
+    sums = {True: np.zeros((1 << 16, 2)), False: np.zeros((1 << 16, 2))}
+    for t, o, c, k in _own(rare, spark.sparkContext.broadcast(own)).groupBy("tail", "own").agg(F.sum("n"), F.count("*")).collect():
+        sums[o][t] = c, k
+    small = symbol == 0
+    sums[False] += np.stack([np.bincount(tail[small], n[small], 1 << 16), np.bincount(tail[small], minlength=1 << 16)], 1)
+    named = sums[False][:, 0] >= min_word
+    further, kinds = sums[True].sum(0)
+    mass = float(n.sum() + len(n) + further + kinds + sums[False].sum() - n[small].sum() - small.sum() + ends + 1 + named.sum() + 2)
+    classes = np.zeros((1 << 16) + 1)
+    classes[1:][named] = (sums[False][named].sum(1) + 1) / mass
+    classes[0] = (sums[False][~named].sum() + 1) / mass
+    probs = np.concatenate(([0.0, (ends + 1) / mass], (n[ranked] + 1) / mass))
+    return Vocabulary(h, n, symbol, own, named, probs, classes, float((further + kinds + 1) / (kinds + 1) / mass), ends, mass)
+
+
+class _Router:
+    """Which bucket a place goes to: that of the symbol before it; of a frequent one, that of the two symbols before it."""
+
+    def __init__(self, vocabulary: Vocabulary, buckets: int, places: int):
+        met = np.concatenate((vocabulary.words, vocabulary.classes)) * vocabulary.mass
+        ids = np.concatenate((np.arange(len(vocabulary.words)), _CLASSES + np.arange(len(vocabulary.classes)))).astype(np.uint64)
+        hot = met > places
+        self.hot, self.parts, self.buckets = ids[hot], np.ceil(met[hot] / places).astype(np.uint64), buckets
+
+    def bucket(self, route: np.ndarray) -> np.ndarray:
+        return ((route >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+    def is_hot(self, c: np.ndarray) -> np.ndarray:
+        return _lookup(self.hot, c)[1]
+
+    def route(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        out, (spot, hit) = mix(c1), _lookup(self.hot, c1)
+        if hit.any():
+            out[hit] = mix(out[hit] + np.uint64(1) + mix(c2[hit]) % self.parts[spot[hit]])
+        return out
+
+    def all_of(self, c1: int) -> np.ndarray:
+        """The buckets of all places after a frequent symbol."""
+        parts = self.parts[np.searchsorted(self.hot, np.uint64(c1))]
+        return np.unique(self.bucket(mix(mix(np.array([c1], np.uint64)) + np.uint64(1) + np.arange(parts, dtype=np.uint64))))
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], v: Vocabulary, places: int) -> Iterator[dict]:
+    """Blocks of documents: doc_id and learns, symbols and word hashes with each document's end last, where documents
+    begin, and what the broadcast words tell of a document; further: places of words that aren't broadcast."""
+    logs_of = np.log10(np.append(v.counts, 0) + 1.0)
+    end_log = float(np.log10(v.ends + 1))
+    held: list[dict] = []
+    size = 0
+
+    def flush() -> dict:
+        out = {k: np.concatenate([x[k] for x in held]) for k in held[0] if k != "doc_id"}
+        out["doc_id"] = pa.concat_arrays([x["doc_id"] for x in held])
+        held.clear()
+        return out
+
+    for batch in batches:
+        data, bounds = column_bytes(batch.column(1))
+        learns = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        for i, j in row_blocks(bounds):
+            h, tail, row = _words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            docs = j - i
+            sym, spot, near, further = v.symbols(h, tail)
+            at = np.arange(len(h)) + row
+            seq, hashes, apart = np.full(len(h) + docs, _END, np.uint64), np.zeros(len(h) + docs, np.uint64), np.zeros(len(h) + docs, np.uint8)
+            seq[at], hashes[at], apart[at] = sym, h.view(np.uint64), np.where(near, 0, 1 + further)
+            known = np.bincount(row, near, docs).astype(np.int64) + (v.ends > 0)
+            logs = np.bincount(row, np.where(near, logs_of[spot], 0.0), docs) + end_log
+            held.append({"doc_id": batch.column(0).slice(i, docs), "learns": learns[i:j], "seq": seq, "hashes": hashes, "apart": apart, "n": np.bincount(row, minlength=docs) + 1, "known": known, "logs": logs})
+            size += len(seq)
+            if size >= places:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
+_SHIPPED = "bucket long, block long, kind int, rep long, n_tokens long, known long, logs double, rooted double, data binary"
+_BACK = "block long, kind int, rep long, n_tokens long, known long, logs double, rooted double, data binary"
+_DOCUMENTS, _PLACES, _RARE, _HOT = range(4)
+
+
+def _rows(kind: int, bucket: list, block, n: list, data: list, id_type: pa.DataType) -> pa.RecordBatch:
+    k = len(data)
+    none = lambda t: pa.nulls(k, t)
+    cols = {"bucket": pa.array(bucket, pa.int64()), "block": pa.array(block, pa.int64()), "kind": pa.array([kind] * k, pa.int32()), "rep": none(pa.int64()), "n_tokens": pa.array(n, pa.int64())}
+    cols |= {"known": none(pa.int64()), "logs": none(pa.float64()), "rooted": none(pa.float64()), "data": pa.array(data, pa.binary()), "doc_id": none(id_type)}
+    return pa.RecordBatch.from_pydict(cols)
+
+
+def _ship(v, router, order: int, places: int):
+    """A row for each document, and one for each bucket with the places, and the rare words, that go there."""
 
-def _with_runs(words: DataFrame, often) -> DataFrame:
-    """words with own: whether each is a symbol of its own, and pair: its hash as a run of one symbol."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, way = v.value, router.value
+        rare_root = float(np.log10(vocabulary.other * vocabulary.mass))
+        block = TaskContext.get().partitionId() << 32
+        for held in _sequences(batches, vocabulary, places):
+            seq, n, docs = held["seq"], held["n"], len(held["n"])
+            starts = np.concatenate(([0], np.cumsum(n)))[:-1]
+            doc = np.repeat(np.arange(docs), n)
+            place = np.arange(len(seq)) - starts[doc]
+            # documents of the same words are one, with the number of those that are learnt from
+            same = np.add.reduceat(mix(held["hashes"]) * powers(int(n.max()) + 1)[0][place + 1], starts) + n.astype(np.uint64)
+            _, first, rep = np.unique(same, return_index=True, return_inverse=True)
+            weight = np.bincount(rep, held["learns"], len(first)).astype(np.uint64)
+            further = np.bincount(doc, held["apart"] == 2, docs)
+            cols = {"bucket": np.full(docs, int(way.bucket(mix(np.array([block], np.uint64)))[0])), "block": np.full(docs, block), "kind": np.full(docs, _DOCUMENTS, np.int32), "rep": rep, "n_tokens": n, "known": held["known"], "logs": held["logs"], "rooted": held["logs"] + further * rare_root}
+            yield pa.RecordBatch.from_pydict({k: pa.array(x) for k, x in cols.items()} | {"data": pa.nulls(docs, pa.binary()), "doc_id": held["doc_id"]})
+            lone = np.zeros(docs, bool)
+            lone[first] = True
+            before = contexts(seq, place, order)
+            at = np.flatnonzero(lone[doc])
+            route = way.route(before[0][at], before[1][at] if order > 1 else seq[at])
+            rare = np.flatnonzero(lone[doc] & (held["apart"] > 0))
+            for kind, spots, ways in ((_PLACES, at, route), (_RARE, rare, mix(held["hashes"][rare]))):
+                sort = np.argsort(ways, kind="stable")
+                spots, bucket = spots[sort], way.bucket(ways[sort])
+                own = rep[doc[spots]].astype(np.uint64)
+                columns = [c[spots] for c in before] + [seq[spots], own] if kind == _PLACES else [held["hashes"][spots], own << np.uint64(1) | (held["apart"][spots] == 2)]
+                columns.append(weight[rep[doc[spots]]])
+                cut = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+                out: tuple[list, list, list] = ([], [], [])
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    parts = [c[a:b] for c in columns]
+                    parts[-2] = _apart(parts[-2])
+                    out[0].append(bucket[a]), out[1].append(b - a), out[2].append(_pack(*parts))
+                for a in range(0, len(out[0]), 256):
+                    cut_ = slice(a, a + 256)
+                    yield _rows(kind, out[0][cut_], [block] * len(out[0][cut_]), out[1][cut_], out[2][cut_], held["doc_id"].type)
+            block += 1
+
+    return work
+
+
+def _hot_counts(texts: DataFrame, v, router, places: int) -> DataFrame:
+    """c, x and n of the symbols after the frequent ones, in documents that are learnt from."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy()
-            cols = [*batch.columns, pa.array(often.value.hits(h)), pa.array(_next(_ROOT, h.view(np.uint64)).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "tail", "n", "own", "pair"])
+        for held in _sequences(batches, v.value, places):
+            seq, n = held["seq"], held["n"]
+            starts = np.concatenate(([0], np.cumsum(n)))[:-1]
+            before = contexts(seq, np.arange(len(seq)) - np.repeat(starts, n), 1)[0]
+            at = np.flatnonzero(router.value.is_hot(before))
+            _, first, n = np.unique(mix((before[at] ^ mix(seq[at] + _STEP)) * _STEP), return_index=True, return_counts=True)
+            cols = before[at[first]].view(np.int64), seq[at[first]].view(np.int64), n.astype(np.int64)
+            for a in range(0, len(first), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["c", "x", "n"])
 
-    return words.select("h", "tail", "n").mapInArrow(work, "h long, tail int, n long, own boolean, pair long")
+    return texts.mapInArrow(work, "c long, x long, n long").groupBy("c", "x").agg(F.sum("n").alias("n"))
 
 
-def train(
+def suffix_tree_scores(
     docs: DataFrame,
+    learns: Column,
     *,
+    id_col: str = "doc_id",
     text_col: str = "text",
     order: int = 3,
-    min_count: int = 10,
-    min_share: float = 2e-4,
-    value_share: float = 2e-6,
+    min_word: int = 10,
+    min_context: int = 2,
+    gain: float = 10.0,
+    discount: float = 0.75,
     often_share: float = 2e-7,
-    beta: float = 50.0,
-) -> Model:
-    """Count over all of ``docs`` and grow the tree.
-
-    Words and contexts met ``min_count`` times are candidates, so the tree grows with the corpus. Runs and their counts,
-    nodes and values stay in distributed tables. To the driver come what is broadcast: the words that make up
-    ``often_share`` of all tokens, at most 1 / often_share; the values counted ``value_share`` of all tokens, at most
-    2 * order / value_share; filters of a fixed size; counts of at most 65,536 classes; and for looking at the tree its
-    contexts that make up ``min_share``. None of the shares changes a score.
+    block_places: int = BLOCK_PLACES,
+    bucket_places: int = BUCKET_PLACES,
+) -> DataFrame:
+    """Scores of all documents by the tree that grows from those where ``learns`` is true (null: false).
+
+    One row for every input row: doc_id, n_tokens, n_known, train_tokens long, base_score, score double. base_score adds
+    log10((c + 1) / (N + V + 1)) over the words and the end; score is the tree's log10 probability of the whole document,
+    where a word not met in training counts as the unknown word of its class. A null or empty text is an end only.
+    Repeated rows score alike; null ids are ids like any other; an empty table gives an empty result; other columns are
+    not read.
+
+    Words and contexts count from absolute numbers on, so the tree grows with the corpus. Broadcast are the words that
+    make up ``often_share`` of all tokens (1 / often_share of them at most, 5 million), a filter of 16 MB, and counts of
+    65,536 classes. Further words met ``min_word`` times are symbols as well; the tree's root takes their mean probability
+    for each of them. A place in a text goes to the bucket of the symbol before it; for a symbol with more places than
+    ``bucket_places``, to one of several by the symbol before that, and what follows the symbol anywhere is counted ahead.
     """
     if not 1 <= order <= 4:
         raise ValueError("order not from 1 to 4")
+    if not 1e-7 <= often_share <= 1:
+        raise ValueError("often_share not from 1e-7 to 1")
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast
-    texts = docs.select(F.col(text_col).cast("string"))
-    ends = texts.count()
-    words = save(_count_words(texts).groupBy("h", "tail").agg(F.sum("n").alias("n")), "lm-words")
+    source = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learns, F.lit(False)).alias("learns")))
+    training = source.where("learns")
+    words = save(_count_words(training.select("text")).groupBy("h", "tail").agg(F.sum("n").alias("n")), "lm-words")
     total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ends = training.count()
     tokens, distinct = total + ends, types + (ends > 0)
-    least = lambda share: max(1, int(np.ceil(share * tokens)))
-    often_from, head_from, values_from = least(often_share), max(min_count, least(min_share)), least(value_share)
-    found = words.select("h", "n").where(F.col("n") >= often_from).toArrow()
-    h, n = found.column("h").to_numpy(), found.column("n").to_numpy()
-    sort = np.argsort(h)
-    often = h[sort], n[sort]
-
-    own = Filter(words.where(F.col("n") >= min_count), "h")
-    head = np.sort(words.where(F.col("n") >= head_from).select("h").toArrow().column("h").to_numpy())
-    flagged = _with_runs(words, broadcast(own))
-    classes = [(int(t), int(c), int(k)) for t, c, k in flagged.where("not own").groupBy("tail").agg(F.sum("n"), F.count("*")).collect()]
-    named = [x for x in classes if x[1] >= min_count]
-    is_named = np.zeros(1 << 16, bool)
-    is_named[[t for t, _, _ in named]] = True
-    symbols = Symbols(head, own, is_named)
-    unknown = len(named) + 1
-    mass = float(tokens + distinct + unknown)
-    others = np.append(symbols.of_class(np.array([t for t, _, _ in named], np.int64)), [mix(np.array([_CLASS]))[0], _END])
-    sizes = [c + k + 1.0 for _, c, k in named] + [sum(c + k for _, c, k in classes if c < min_count) + 1.0, ends + 1.0]
-    known = spark.createDataFrame(pa.table({"pair": _next(_ROOT, others).view(np.int64), "p": np.array(sizes) / mass}))
-    above = flagged.where("own").select("pair", ((F.col("n") + 1) / F.lit(mass)).alias("p")).unionByName(known)
-
-    shared, wanted = broadcast(symbols), None
-    nodes, suffix, parts, tables = [], {}, [], []
-    for k in range(1, order + 1):
-        counts = _count_runs(texts, shared, k, wanted).groupBy("pair").agg(F.min("before").alias("before"), F.min("after").alias("after"), F.sum("n").alias("n"))
-        table = save(counts.join(above.withColumnRenamed("pair", "after"), "after"), f"lm-runs-{k}")
-        tables.append(table)
-        sums = table.groupBy("before").agg(F.sum("n").alias("total"), F.count("*").alias("m"), F.sum(F.col("n") * F.log(F.col("n") / F.col("p"))).alias("g"))
-        size = F.log("total")
-        grown = save(sums.where((F.col("total") >= min_count) & (F.col("g") - F.col("total") * size > 0.5 * F.col("m") * size + 10)).select("before", "total"), f"lm-nodes-{k}")
-        nodes.append(np.sort(grown.where(F.col("total") >= head_from).select("before").toArrow().column("before").to_numpy()))
-        met = table.join(grown, "before", "left")
-        rise = F.log10(1 + F.col("n") / (beta * F.col("p")))
-        parts.append(met.where("total is not null").select(F.col("pair").alias("key"), rise.alias("value"), "n"))
-        fall = F.log10(F.lit(beta) / (F.col("total") + beta))
-        parts.append(grown.select(F.col("before").bitwiseXOR(F.lit(int(_NODE.view(np.int64)))).alias("key"), fall.alias("value"), F.col("total").alias("n")))
-        if k == order:
-            break
-        above = met.select("pair", F.when(F.col("total").isNull(), F.col("p")).otherwise((F.col("n") + beta * F.col("p")) / (F.col("total") + beta)).alias("p"))
-        candidates = Filter(table.where(F.col("n") >= min_count), "pair")
-        if not candidates.cells.any():
-            break
-        suffix |= {r["pair"]: r["after"] for r in table.where(F.col("n") >= head_from).select("pair", "after").collect()}
-        wanted = broadcast(candidates)
-    values = save(reduce(DataFrame.unionByName, parts), "lm-values")
-    discard(*tables)
-    found = values.where(F.col("n") >= values_from).select("key", "value").toArrow()
-    keys, value = found.column("key").to_numpy(), found.column("value").to_numpy()
-    sort = np.argsort(keys)
-    tree = Tree(symbols, order, keys[sort], value[sort], Filter(values), nodes, suffix)
-    shift = float(np.log10((tokens + distinct + 1) / mass))
-    rest = values.where(F.col("n") < values_from).select("key", "value")
-    return Model(words, often, often_from, int(tokens), int(distinct), int(ends), shift, tree, rest)
-
-
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for every input row: doc_id, n_tokens, n_known, train_tokens long, base_score, score double.
-
-    base_score adds log10((c + 1) / (N + V + 1)) over the words and the end; score is the tree's log10 probability of
-    the whole document, where a word not met in training counts as the unknown word of its class. A null or empty text
-    is an end only. Repeated rows score alike; null ids are ids like any other; an empty table gives an empty result.
-
-    The frequent words and values are broadcast, both of bounded size; other words and runs meet theirs in a join.
-    """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    few = model.words.where(F.col("n") < model.often_from)
-    shared = docs.sparkSession.sparkContext.broadcast((model.tree, *model.often, Filter(few, "h")))
-    end_log, end_known = float(np.log10(model.ends + 1)), int(model.ends > 0)
-    schema = f"rid long, doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, logs double, gain double, far array<long>"
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, often, counts, rare = shared.value
-        logs_of = np.append(np.log10(counts + 1.0), 0.0)
-        rid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            data, bounds = column_bytes(batch.column(1))
-            for i, j in row_blocks(bounds):
-                own, at = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-                h, _, row = _words(own, at)
-                keys, back = np.unique(h, return_inverse=True)
-                spot, hit = _lookup(often, keys)
-                value, near, away = np.where(hit, logs_of[spot], 0.0)[back], hit[back], (~hit & rare.hits(keys))[back]
-                known = np.bincount(row, near, j - i).astype(np.int64) + end_known
-                gain, runs_far, docs_far = tree.gains(own, at)
-                far, of = np.concatenate((h[away], runs_far)), np.concatenate((row[away], docs_far))
-                ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=j - i))))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(far[np.argsort(of, kind="stable")]))
-                n = np.bincount(row, minlength=j - i) + 1
-                cols = [rid + np.arange(j - i), n, known, np.bincount(row, value, j - i) + end_log, gain]
-                rid += j - i
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0]), batch.column(0).slice(i, j - i), *(pa.array(c) for c in cols[1:]), lists],
-                    names=["rid", "doc_id", "n_tokens", "known", "logs", "gain", "far"],
-                )
-
-    each = save(source.mapInArrow(work, schema), "lm-scores")
-    far = each.select("rid", F.explode("far").alias("key"))
-    logs = few.select(F.col("h").alias("key"), F.log10(F.col("n") + 1).alias("value"), F.lit(1).alias("word"))
-    table = logs.unionByName(model.rest.select("key", "value", F.lit(0).alias("word")))
-    of_word = F.col("word") == 1
-    found = far.join(table, "key").groupBy("rid").agg(
-        F.sum("word").alias("more"), F.sum(F.when(of_word, F.col("value"))).alias("more_logs"), F.sum(F.when(~of_word, F.col("value"))).alias("more_gain")
+    vocabulary = _vocabulary(words, ends, max(1, int(np.ceil(often_share * tokens))), min_word)
+    discard(words)
+    v = broadcast(vocabulary)
+    router = broadcast(way := _Router(vocabulary, max(1, -(-tokens // bucket_places)), bucket_places))
+
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    shipped = source.mapInArrow(_ship(v, router, order, block_places), f"{_SHIPPED}, doc_id {id_type}")
+    if len(way.hot):
+        hot = _hot_counts(training, v, router, block_places).groupBy("c").applyInArrow(_deliver(router, spark_type(source, "doc_id")), f"{_SHIPPED}, doc_id {id_type}")
+        shipped = shipped.unionByName(hot)
+
+    def score(table: pa.Table) -> pa.Table:
+        return _score_bucket(table, v.value, router.value, order, min_context, gain, discount)
+
+    back = shipped.groupBy("bucket").applyInArrow(score, f"{_BACK}, doc_id {id_type}")
+    base, mass = float(np.log10(tokens + distinct + 1)), float(np.log10(vocabulary.mass))
+    out = back.groupBy("block").applyInArrow(_sum_up, f"doc_id {id_type}, n_tokens long, n_known long, logs double, rooted double")
+    return out.select(
+        "doc_id",
+        "n_tokens",
+        "n_known",
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
+        (F.col("rooted") - F.col("n_tokens") * F.lit(mass)).alias("score"),
     )
-    out = each.drop("far").join(found, "rid", "left")
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + model.distinct + 1)))
-    gain = F.col("gain") + F.coalesce("more_gain", F.lit(0.0))
-    out = out.withColumn("base_score", base).withColumn("score", F.col("base_score") + F.col("n_tokens") * F.lit(model.shift) + gain)
-    known = F.col("known") + F.coalesce("more", F.lit(0))
-    return out.select("doc_id", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def spark_type(df: DataFrame, name: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[name].dataType)
+
+
+def _deliver(router, id_type: pa.DataType):
+    """What follows a frequent symbol, to all buckets of its places."""
+
+    def work(table: pa.Table) -> pa.Table:
+        c = table.column("c").to_numpy()
+        cols = [table.column(k).to_numpy().view(np.uint64) for k in ("x", "n")]
+        data = _pack(c.view(np.uint64), *cols)
+        buckets = router.value.all_of(int(c.view(np.uint64)[0])).tolist()
+        return pa.Table.from_batches([_rows(_HOT, buckets, [None] * len(buckets), [len(c)] * len(buckets), [data] * len(buckets), id_type)])
+
+    return work
+
+
+def _score_bucket(table: pa.Table, v: Vocabulary, way: _Router, order: int, min_context: int, gain: float, discount: float) -> pa.Table:
+    """Grows the subtrees of a bucket's symbols and scores its places; counts its rare words. Documents pass."""
+    kind = table.column("kind").to_numpy()
+    n, block, data = table.column("n_tokens").to_numpy(), table.column("block"), table.column("data")
+    id_type = table.schema.field("doc_id").type
+    out = [table.filter(pa.array(kind == _DOCUMENTS)).drop_columns(["bucket"])]
+
+    def parts(which: int, columns: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        rows = np.flatnonzero(kind == which).tolist()
+        got = [_unpack(data[i].as_py(), columns, int(n[i])) for i in rows]
+        return rows, np.concatenate([np.zeros((columns, 0), np.uint64), *got], axis=1), np.concatenate(([0], np.cumsum(n[rows]))).astype(np.int64)
+
+    def send(which: int, rows: list[int], packed: list[bytes], sizes: list[int]) -> None:
+        if rows:
+            found = pa.Table.from_batches([_rows(which, [0] * len(rows), block.take(rows).to_pylist(), sizes, packed, id_type)])
+            out.append(found.drop_columns(["bucket"]))
+
+    rows, places, ends = parts(_PLACES, order + 3)
+    _, hot, _ = parts(_HOT, 3)
+    if rows:
+        m = hot.shape[1]
+        none = np.zeros(m, np.uint64)
+        before = [np.concatenate((c, hot[0] if not k else none)) for k, c in enumerate(places[:order])]
+        after = np.concatenate((places[order], hot[1]))
+        weight = np.concatenate((places[order + 2], none)).astype(np.float64)
+        near = weight.copy()
+        if len(way.hot):  # counted ahead
+            near[way.is_hot(before[0])] = 0
+            near[len(near) - m :] = hot[2]
+        won, _ = grow(before, after, [near] + [weight] * (order - 1), v.root(after), min_context, gain, discount)
+        packed, sizes = [], []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            rep, back = np.unique(np.cumsum(places[order + 1, a:b]), return_inverse=True)
+            gains = np.bincount(back, won[a:b]).astype(np.float32).view(np.uint32)
+            packed.append(_pack(_apart(rep), gains))
+            sizes.append(len(rep))
+        send(_PLACES, rows, packed, sizes)
+
+    rows, words, ends = parts(_RARE, 3)
+    if rows:
+        _, back = np.unique(words[0], return_inverse=True)
+        counts = np.bincount(back, words[2].astype(np.float64)).astype(np.uint64)[back]
+        send(_RARE, rows, [_pack(words[1, a:b], counts[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.diff(ends).tolist())
+    return pa.concat_tables(out)
+
+
+def _sum_up(table: pa.Table) -> pa.Table:
+    """A block's documents with the sums that come back from the buckets."""
+    kind, sizes, data = table.column("kind").to_numpy(), table.column("n_tokens").to_numpy(), table.column("data")
+    docs = table.filter(pa.array(kind == _DOCUMENTS))
+    rep, n = docs.column("rep").to_numpy(), docs.column("n_tokens").to_numpy()
+    reps = int(rep.max()) + 1 if len(rep) else 0
+    known, logs, rooted = np.zeros(reps, np.int64), np.zeros(reps), np.zeros(reps)
+    for i in np.flatnonzero(kind == _PLACES).tolist():
+        own, gains = _unpack(data[i].as_py(), 2, int(sizes[i]))
+        rooted[np.cumsum(own).astype(np.int64)] += gains.astype(np.uint32).view(np.float32)
+    for i in np.flatnonzero(kind == _RARE).tolist():
+        own, counts = _unpack(data[i].as_py(), 2, int(sizes[i]))
+        own = np.cumsum(own)
+        further, own = (own & np.uint64(1)) == 1, (own >> np.uint64(1)).astype(np.int64)
+        known += np.bincount(own, counts > 0, reps).astype(np.int64)
+        more = np.log10(counts + 1.0)
+        logs += np.bincount(own, more, reps)
+        rooted += np.bincount(own, np.where(further, 0.0, more), reps)
+    cols = [docs.column("doc_id"), pa.array(n), *(pa.array(docs.column(k).to_numpy() + x[rep]) for k, x in (("known", known), ("logs", logs), ("rooted", rooted)))]
+    return pa.Table.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "logs", "rooted"])
 
 
 def in_fold(key: Column, modulus: int = 7, rest: int = 2) -> Column:

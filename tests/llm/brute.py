@@ -61,21 +61,23 @@ def unigram(corpus, held_out):
     return {k: (len(x), sum(c[y] > 0 for y in x), n, sum(math.log10((c[y] + 1) / (n + v + 1)) for y in x)) for k, x in w.items()}
 
 
-def suffix_tree(texts, train, least, order=3, beta=50.0):
-    """log10 probability of each text by the tree over words and word classes that grows from the training texts."""
+def suffix_tree(texts, train, min_word, min_context=2, order=3, gain=10.0, discount=0.75, often_from=1):
+    """log10 probability of each text by the tree over words and word classes that grows from the training texts, and the
+    number of nodes. Words met less than often_from times share one probability in the root."""
     tail = lambda w: lower(w).encode()[-2:]
     c = collections.Counter(w for t in train for w in words(t))
-    often = {w for w in c if c[w] >= least}
+    own = {w for w in c if c[w] >= min_word}
     classes, kinds = collections.Counter(), collections.Counter()
     for w in c:
-        if w not in often:
+        if w not in own:
             classes[tail(w)] += c[w]
             kinds[tail(w)] += 1
-    named = {t for t in classes if classes[t] >= least}
-    symbol = lambda w: w if w in often else (tail(w) if tail(w) in named else "rest") if w is not None else ()
-    unknown = len(named) + 1
-    mass = sum(c.values()) + len(train) + len(c) + 1 + unknown
-    root = {w: (c[w] + 1) / mass for w in often} | {t: (classes[t] + kinds[t] + 1) / mass for t in named}
+    named = {t for t in classes if classes[t] >= min_word}
+    symbol = lambda w: w if w in own else (tail(w) if tail(w) in named else "rest") if w is not None else ()
+    mass = sum(c.values()) + len(c) + len(train) + 1 + len(named) + 2
+    further = [w for w in own if c[w] < often_from]
+    mean = (sum(c[w] + 1 for w in further) + 1) / (len(further) + 1) / mass
+    root = {w: (c[w] + 1) / mass if c[w] >= often_from else mean for w in own} | {t: (classes[t] + kinds[t] + 1) / mass for t in named}
     root["rest"] = (sum(classes[t] + kinds[t] for t in classes if t not in named) + 1) / mass
     root[()] = (len(train) + 1) / mass
     after = collections.defaultdict(collections.Counter)
@@ -84,29 +86,36 @@ def suffix_tree(texts, train, least, order=3, beta=50.0):
         for i in range(1, len(s)):
             for k in range(1, min(order, i) + 1):
                 after[tuple(s[i - k : i])][s[i]] += 1
-    nodes = {}
+    nodes = set()
 
     def p(context, x):
         while context and context not in nodes:
             context = context[1:]
         if not context:
             return root[x]
-        total, n = nodes[context]
-        return (n[x] + beta * p(context[1:], x)) / (total + beta)
-
-    for k in range(1, order + 1):
-        for context, n in after.items():
-            total = sum(n.values())
-            if len(context) == k and total >= least:
-                gain = sum(n[x] * math.log(n[x] / total / p(context[1:], x)) for x in n)
-                if gain > 0.5 * len(n) * math.log(total) + 10:
-                    nodes[context] = total, n
+        n = after[context]
+        kept = [y for y in n if n[y] > 1]
+        single = sum(n.values()) - sum(n[y] for y in kept)
+        return (max(n[x] - discount, 0) * (n[x] > 1) + (single + discount * len(kept)) * p(context[1:], x)) / sum(n.values())
+
+    for context in sorted(after, key=len):
+        n, total = after[context], sum(after[context].values())
+        kept = [y for y in n if n[y] > 1]
+        if total < min_context or not kept:
+            continue
+        single = total - sum(n[y] for y in kept)
+        won = sum(n[y] * math.log(n[y] / total / p(context[1:], y)) for y in kept)
+        if single:
+            won += single * math.log(single / total / max(1 - sum(p(context[1:], y) for y in kept), 1e-9))
+        if won > 0.5 * (len(kept) + (single > 0)) * math.log(total) + gain:
+            nodes.add(context)
     out = []
     for t in texts:
         w = [*words(t), None]
         s = [(), *(symbol(x) for x in w)]
-        own = sum(math.log10(p(tuple(s[max(0, i - order) : i]), s[i]) / root[s[i]]) for i in range(1, len(s)))
-        out.append(own + sum(math.log10(((len(train) if x is None else c[x]) + 1) / mass) for x in w))
+        score = sum(math.log10(p(tuple(s[max(0, i - order) : i]), s[i]) / root[s[i]]) for i in range(1, len(s)))
+        base = lambda x: root[()] if x is None else mean if x in own and c[x] < often_from else (c[x] + 1) / mass
+        out.append(score + sum(math.log10(base(x)) for x in w))
     return out, len(nodes)
 
 

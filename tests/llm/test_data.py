@@ -175,66 +175,82 @@ def test_chunks_cover_the_document():
         assert quality.features(net, codes, starts, quality.repeats(codes.ravel()))[0, 0] == 4
 
 
+def lm(df, learns=None, **options):
+    rows = suffix_tree_lm.suffix_tree_scores(df, ~suffix_tree_lm.in_fold(df.doc_id) if learns is None else learns, **options).collect()
+    return {r["doc_id"]: r for r in rows}
+
+
 def test_lm(docs, corpus):
-    held = lambda k: brute.fold(k, 7) == 2
-    want = brute.unigram(corpus, held)
-    model = suffix_tree_lm.train(docs.where(~suffix_tree_lm.in_fold(docs.doc_id)), min_share=1e-3)
-    rows = suffix_tree_lm.score(docs, model).collect()
-    assert len(rows) == len(want)
-    for r in rows:
-        n, known, train, base = want[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, train)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9)
-    # the same without broadcast words
-    few = suffix_tree_lm.train(docs.where(~suffix_tree_lm.in_fold(docs.doc_id)), min_share=1e-3, often_share=0.5)
-    other = {r["doc_id"]: r for r in suffix_tree_lm.score(docs, few).collect()}
-    assert all(other[r["doc_id"]]["base_score"] == pytest.approx(r["base_score"]) and other[r["doc_id"]]["n_known"] == r["n_known"] for r in rows)
+    """The base scores and counts, whatever is broadcast."""
+    want = brute.unigram(corpus, lambda k: brute.fold(k, 7) == 2)
+    for options in ({}, {"often_share": 0.5}, {"often_share": 0.01, "block_places": 50, "bucket_places": 100}):
+        rows = lm(docs, **options)
+        assert rows.keys() == want.keys()
+        for k, (n, known, train, base) in want.items():
+            assert (rows[k]["n_tokens"], rows[k]["n_known"], rows[k]["train_tokens"]) == (n, known, train)
+            assert rows[k]["base_score"] == pytest.approx(base, rel=1e-9)
 
 
 def test_lm_tree(spark):
-    """A word that only ever follows one word is scored by that context, and distributions add up to one."""
+    """A word that only ever follows one word is scored by that context."""
     text = " ".join(["up", "down", "left", "right"] * 200)
-    df = spark.createDataFrame([(k, text) for k in range(5)], "doc_id long, text string")
-    model = suffix_tree_lm.train(df, min_share=1e-3)
-    tree = model.tree
-    assert sum(len(n) for n in tree.nodes) >= 4
-    root = np.array([model.often[1][model.often[0] == h].sum() + 1 for h in tree.symbols.words] + [1.0, model.ends + 1])
-    root /= root.sum()
-    assert np.allclose((10.0 ** tree.ratio.astype(float) * root).sum(1), 1, atol=1e-4)
-    rows = suffix_tree_lm.score(df, model).collect()
+    df = spark.createDataFrame([*((k, text) for k in range(5)), (9, "down up right left " * 50)], "doc_id long, text string")
+    rows = lm(df, df.doc_id < 9)
     assert rows[0]["score"] > rows[0]["base_score"] + 300
-    odd_order = spark.createDataFrame([(1, "down up right left " * 50)], "doc_id long, text string")
-    r = suffix_tree_lm.score(odd_order, model).first()
-    assert r["score"] < r["base_score"]
-
-
-def test_lm_tree_brute(docs, corpus):
-    """Every context met min_count times counts; what is broadcast and what is joined give the same."""
-    held = lambda k: brute.fold(k, 7) == 2
-    want, nodes = brute.suffix_tree([t for _, t in corpus], [t for k, t in corpus if not held(k)], 10)
-    assert nodes > 20
-    want = dict(zip((k for k, _ in corpus), want, strict=True))
-    train = docs.where(~suffix_tree_lm.in_fold(docs.doc_id))
-    for options in ({}, {"value_share": 1.0}, {"value_share": 5e-3, "often_share": 0.5, "min_share": 0.5}):
-        rows = suffix_tree_lm.score(docs, suffix_tree_lm.train(train, **options)).collect()
-        assert {r["doc_id"]: r["score"] for r in rows} == pytest.approx(want, rel=1e-5, abs=1e-4)
+    assert rows[9]["score"] < rows[9]["base_score"]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_tree_brute(docs, corpus, order):
+    """The scores of a plain suffix tree; dealing places of frequent symbols to several buckets changes nothing."""
+    train = [t for k, t in corpus if brute.fold(k, 7) != 2]
+    tokens = sum(len(brute.words(t)) + 1 for t in train)
+    for options in ({}, {"block_places": 300, "bucket_places": 400}, {"often_share": 0.02, "bucket_places": 1000}, {"min_context": 5, "gain": 3.0, "discount": 0.5}):
+        often_from = max(1, math.ceil(options.get("often_share", 2e-7) * tokens))
+        more = {k: v for k, v in options.items() if k in ("min_context", "gain", "discount")}
+        want, nodes = brute.suffix_tree([t for _, t in corpus], train, 10, order=order, often_from=often_from, **more)
+        assert nodes > 20
+        rows = lm(docs, order=order, **options)
+        assert {k: r["score"] for k, r in rows.items()} == pytest.approx(dict(zip((k for k, _ in corpus), want, strict=True)), rel=1e-5, abs=1e-4)
+
+
+def test_lm_probabilities_add_up():
+    """Over all symbols, the probabilities in any context add up to one."""
+    rng = np.random.default_rng(3)
+    seq = rng.integers(2, 7, 4000).astype(np.uint64)
+    seq[3::5] = (seq[2::5][: len(seq[3::5])] + 1) % 5 + 2
+    before = suffix_tree_lm.contexts(seq, np.arange(4000), 2)
+    asked = [(a, b, x) for a in range(2, 7) for b in range(2, 7) for x in range(2, 7)]
+    cols = np.array(asked, np.uint64).T
+    root = np.full(4000 + len(asked), 0.2)
+    weight = np.concatenate((np.ones(4000), np.zeros(len(asked))))
+    won, nodes = suffix_tree_lm.grow([np.concatenate((before[k], cols[k])) for k in (0, 1)], np.concatenate((seq, cols[2])), [weight] * 2, root, 2, 10.0, 0.75)
+    assert nodes > 5
+    sums = (10 ** won[4000:] * 0.2).reshape(25, 5).sum(1)
+    assert np.allclose(sums, 1) and (10 ** won[4000:]).std() > 0.1
 
 
 def test_lm_grows_with_corpus(spark):
-    """A pair of words met 12 times is learnt however many tokens stand around it."""
+    """A pair of words met 12 times is learnt however many tokens stand around it, and so is a text that occurs twice."""
     rows = [(i, " ".join(f"first{j}x second{j}x" for j in range(i % 100, 3000, 100))) for i in range(1200)]
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 200, 40)) for _ in range(400)]
+    rows += [(2000 + i, t) for i, t in enumerate([*texts, texts[0]])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    r = suffix_tree_lm.score(df, suffix_tree_lm.train(df)).where("doc_id = 0").first()
-    assert r["score"] > r["base_score"] + 60
+    rows = lm(df, suffix_tree_lm.F.lit(True))
+    won = lambda k: (rows[k]["score"] - rows[k]["base_score"]) / rows[k]["n_tokens"]
+    assert won(0) > 1 and won(2000) == won(2400) > max(won(2000 + i) for i in range(1, 400)) + 0.5
 
 
 def test_lm_odd(odd, empty):
-    model = suffix_tree_lm.train(empty)
-    assert suffix_tree_lm.score(empty, model).count() == 0
-    rows = suffix_tree_lm.score(odd, model).collect()
+    learns = suffix_tree_lm.F.lit(False)
+    assert suffix_tree_lm.suffix_tree_scores(empty, learns).count() == 0
+    rows = suffix_tree_lm.suffix_tree_scores(odd, learns).collect()
     assert len(rows) == 6 and all(r["n_known"] == 0 and r["base_score"] == 0 for r in rows)
+    rows = suffix_tree_lm.suffix_tree_scores(odd, odd.doc_id == 1).collect()  # null: not learnt from
+    assert sorted(r["n_known"] for r in rows) == [1, 1, 2, 3, 3, 3] and {r["train_tokens"] for r in rows} == {8}
     with pytest.raises(ValueError):
-        suffix_tree_lm.train(odd, order=9)
+        suffix_tree_lm.suffix_tree_scores(odd, learns, order=9)
 
 
 def plain_tiles(p, t, least):
