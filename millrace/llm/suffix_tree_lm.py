@@ -35,12 +35,12 @@ from .textvec import column_bytes, mix, powers, row_blocks, word_hashes
 FILTER_BITS = 27
 #: Places that a block of documents holds, if it isn't one document; and that a bucket holds on average. A symbol with
 #: more places than that has them dealt to several buckets by the symbol before it.
-BLOCK_PLACES = 1 << 20
-BUCKET_PLACES = 1 << 20
+BLOCK_PLACES = 1 << 19
+BUCKET_PLACES = 3 << 18
 
 # Symbols: no symbol (before a document's begin), the end, words by falling frequency, classes from CLASSES on, and other
 # words by their hash with the top bit set.
-_NONE, _END, _WORDS, _CLASSES, _TOP = 0, 1, 2, 1 << 24, np.uint64(1 << 63)
+_NONE, _END, _WORDS, _CLASSES, _TOP = 0, 1, 2, 1 << 23, np.uint64(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,8 +122,14 @@ def _unpack(data: bytes, columns: int, n: int) -> np.ndarray:
 
 
 def _apart(x: np.ndarray) -> np.ndarray:
-    """Differences of neighbours, from zero, without a sign; np.cumsum takes them back."""
-    return np.diff(x.astype(np.uint64), prepend=np.uint64(0))
+    """Differences of neighbours, the sign in the lowest bit, so that small ones of either sign are small numbers."""
+    step = np.diff(x.astype(np.int64), prepend=0)
+    return ((step << 1) ^ (step >> 63)).view(np.uint64)
+
+
+def _together(x: np.ndarray) -> np.ndarray:
+    """What _apart() was given."""
+    return np.cumsum((x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64))
 
 
 def contexts(seq: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
@@ -160,9 +166,9 @@ def grow(before: list[np.ndarray], after: np.ndarray, weights: list[np.ndarray],
         seen = np.bincount(ctx[kept], n[kept], len(total))
         kinds = np.bincount(ctx[kept], minlength=len(total))
         single, left = total - seen, np.maximum(1 - np.bincount(ctx[kept], suffix[kept], len(total)), 1e-9)
-        safe = np.maximum(total, 1)
+        safe = np.maximum(total, 1.0)
         won = np.bincount(ctx[kept], n[kept] * np.log(n[kept] / (safe[ctx[kept]] * suffix[kept])), len(total))
-        won += np.where(single > 0, single * np.log(np.maximum(single, 1) / (safe * left)), 0)
+        won = won + np.where(single > 0, single * np.log(np.maximum(single, 1) / (safe * left)), 0)
         node = (total >= min_context) & (kinds > 0) & (won > 0.5 * (kinds + (single > 0)) * np.log(safe) + gain)
         nodes += int(node.sum())
         rest = (single + discount * kinds) / safe
@@ -397,11 +403,14 @@ def suffix_tree_scores(
     65,536 classes. Further words met ``min_word`` times are symbols as well; the tree's root takes their mean probability
     for each of them. A place in a text goes to the bucket of the symbol before it; for a symbol with more places than
     ``bucket_places``, to one of several by the symbol before that, and what follows the symbol anywhere is counted ahead.
+
+    A task holds about ``bucket_places`` or ``block_places`` at 400 bytes each. Rows are one for each block and bucket, so
+    both should be as large as a task's memory lets once a row holds few places: 64 million each for 100 TB.
     """
     if not 1 <= order <= 4:
         raise ValueError("order not from 1 to 4")
-    if not 1e-7 <= often_share <= 1:
-        raise ValueError("often_share not from 1e-7 to 1")
+    if not 2e-7 <= often_share <= 1:
+        raise ValueError("often_share not from 2e-7 to 1")
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast
     source = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learns, F.lit(False)).alias("learns")))
@@ -465,8 +474,11 @@ def _score_bucket(table: pa.Table, v: Vocabulary, way: _Router, order: int, min_
 
     def parts(which: int, columns: int) -> tuple[list[int], np.ndarray, np.ndarray]:
         rows = np.flatnonzero(kind == which).tolist()
-        got = [_unpack(data[i].as_py(), columns, int(n[i])) for i in rows]
-        return rows, np.concatenate([np.zeros((columns, 0), np.uint64), *got], axis=1), np.concatenate(([0], np.cumsum(n[rows]))).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(n[rows]))).astype(np.int64)
+        out = np.empty((columns, ends[-1]), np.uint64)
+        for i, a, b in zip(rows, ends[:-1], ends[1:], strict=True):
+            out[:, a:b] = _unpack(data[i].as_py(), columns, b - a)
+        return rows, out, ends
 
     def send(which: int, rows: list[int], packed: list[bytes], sizes: list[int]) -> None:
         if rows:
@@ -476,19 +488,17 @@ def _score_bucket(table: pa.Table, v: Vocabulary, way: _Router, order: int, min_
     rows, places, ends = parts(_PLACES, order + 3)
     _, hot, _ = parts(_HOT, 3)
     if rows:
-        m = hot.shape[1]
-        none = np.zeros(m, np.uint64)
-        before = [np.concatenate((c, hot[0] if not k else none)) for k, c in enumerate(places[:order])]
-        after = np.concatenate((places[order], hot[1]))
-        weight = np.concatenate((places[order + 2], none)).astype(np.float64)
-        near = weight.copy()
-        if len(way.hot):  # counted ahead
-            near[way.is_hot(before[0])] = 0
-            near[len(near) - m :] = hot[2]
+        before, after, weight = list(places[:order]), places[order], places[order + 2].astype(np.float64)
+        near = weight
+        if hot.shape[1]:  # counted ahead
+            none = np.zeros(hot.shape[1], np.uint64)
+            near = np.concatenate((np.where(way.is_hot(before[0]), 0, weight), hot[2]))
+            before = [np.concatenate((c, none if k else hot[0])) for k, c in enumerate(before)]
+            after, weight = np.concatenate((after, hot[1])), np.concatenate((weight, none))
         won, _ = grow(before, after, [near] + [weight] * (order - 1), v.root(after), min_context, gain, discount)
         packed, sizes = [], []
         for a, b in zip(ends[:-1], ends[1:], strict=True):
-            rep, back = np.unique(np.cumsum(places[order + 1, a:b]), return_inverse=True)
+            rep, back = np.unique(_together(places[order + 1, a:b]), return_inverse=True)
             gains = np.bincount(back, won[a:b]).astype(np.float32).view(np.uint32)
             packed.append(_pack(_apart(rep), gains))
             sizes.append(len(rep))
@@ -511,11 +521,11 @@ def _sum_up(table: pa.Table) -> pa.Table:
     known, logs, rooted = np.zeros(reps, np.int64), np.zeros(reps), np.zeros(reps)
     for i in np.flatnonzero(kind == _PLACES).tolist():
         own, gains = _unpack(data[i].as_py(), 2, int(sizes[i]))
-        rooted[np.cumsum(own).astype(np.int64)] += gains.astype(np.uint32).view(np.float32)
+        rooted[_together(own)] += gains.astype(np.uint32).view(np.float32)
     for i in np.flatnonzero(kind == _RARE).tolist():
         own, counts = _unpack(data[i].as_py(), 2, int(sizes[i]))
-        own = np.cumsum(own)
-        further, own = (own & np.uint64(1)) == 1, (own >> np.uint64(1)).astype(np.int64)
+        own = _together(own)
+        further, own = (own & 1) == 1, own >> 1
         known += np.bincount(own, counts > 0, reps).astype(np.int64)
         more = np.log10(counts + 1.0)
         logs += np.bincount(own, more, reps)
