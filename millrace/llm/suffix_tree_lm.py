@@ -36,7 +36,7 @@ FILTER_BITS = 27
 #: Places that a block of documents holds, if it isn't one document; and that a bucket holds on average. A symbol with
 #: more places than that has them dealt to several buckets by the symbol before it.
 BLOCK_PLACES = 1 << 19
-BUCKET_PLACES = 3 << 18
+BUCKET_PLACES = 1 << 20
 
 # Symbols: no symbol (before a document's begin), the end, words by falling frequency, classes from CLASSES on, and other
 # words by their hash with the top bit set.
@@ -77,8 +77,7 @@ class Filter:
 
 @dataclass
 class Vocabulary:
-    """often, counts, symbol: sorted hashes of the broadcast words, their counts, and their symbols (0: by class); own: the
-    filter of further words that are symbols; named: the classes that are symbols of their own, the others go together;
+    """often, counts, symbol: sorted hashes of the broadcast words, their counts, and their symbols; own: the filter of further words that are symbols; named: the classes that are symbols of their own, the others go together;
     words, classes: root probabilities by symbol; other: that of each further word; met: counts by symbol."""
 
     often: np.ndarray
@@ -97,7 +96,7 @@ class Vocabulary:
         spot, near = _lookup(self.often, h)
         sym = np.where(near, self.symbol[spot] if len(self.symbol) else 0, 0).astype(np.uint64)
         far = ~near & self.own.hits(h)
-        by_class = (sym == 0) & ~far
+        by_class = ~near & ~far
         sym[by_class] = (_CLASSES + np.where(self.named[tail[by_class]], tail[by_class] + 1, 0)).astype(np.uint64)
         sym[far] = h[far].view(np.uint64) | _TOP
         return sym, spot, near, far
@@ -113,7 +112,7 @@ class Vocabulary:
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of unsigned 64-bit integers as compressed byte planes: small numbers take few bytes."""
     planes = np.stack([c.astype(np.uint64, copy=False) for c in columns]).view(np.uint8).reshape(len(columns), -1, 8)
-    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(planes.transpose(0, 2, 1)), asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(np.ascontiguousarray(planes.transpose(0, 2, 1)), asbytes=True)
 
 
 def _unpack(data: bytes, columns: int, n: int) -> np.ndarray:
@@ -210,27 +209,26 @@ def _own(words: DataFrame, filter_) -> DataFrame:
     return words.select("h", "tail", "n").mapInArrow(work, "tail int, n long, own boolean")
 
 
-def _vocabulary(words: DataFrame, ends: int, often_from: int, min_word: int) -> Vocabulary:
-    """To the driver come the words counted ``often_from`` times, a filter of fixed size, and counts of 65,536 classes."""
-    found = words.select("h", "n", "tail").where(F.col("n") >= often_from).toArrow()
-    h, n, tail = (found.column(c).to_numpy() for c in ("h", "n", "tail"))
+def _vocabulary(words: DataFrame, ends: int, min_word: int, broadcast_words: int) -> Vocabulary:
+    """To the driver come the words to broadcast, a filter of fixed size, and counts of 65,536 classes."""
+    steps = [min_word << j for j in range(41)]
+    met = words.agg(*(F.count(F.when(F.col("n") >= c, 1)) for c in steps)).first()
+    often_from = next(c for c, k in zip(steps, met, strict=True) if k <= broadcast_words)
+    found = words.select("h", "n").where(F.col("n") >= often_from).toArrow()
+    h, n = found.column("h").to_numpy(), found.column("n").to_numpy()
     sort = np.argsort(h)
-    h, n, tail = h[sort], n[sort], tail[sort]
+    h, n = h[sort], n[sort]
     ranked = np.lexsort((h, -n))
-    ranked = ranked[n[ranked] >= min_word]
     symbol = np.zeros(len(h), np.uint64)
     symbol[ranked] = np.arange(len(ranked), dtype=np.uint64) + np.uint64(_WORDS)
     rare = words.where(F.col("n") < often_from)
     own = Filter(rare.where(F.col("n") >= min_word), "h")
-    spark = words.sparkSession
     sums = {True: np.zeros((1 << 16, 2)), False: np.zeros((1 << 16, 2))}
-    for t, o, c, k in _own(rare, spark.sparkContext.broadcast(own)).groupBy("tail", "own").agg(F.sum("n"), F.count("*")).collect():
+    for t, o, c, k in _own(rare, words.sparkSession.sparkContext.broadcast(own)).groupBy("tail", "own").agg(F.sum("n"), F.count("*")).collect():
         sums[o][t] = c, k
-    small = symbol == 0
-    sums[False] += np.stack([np.bincount(tail[small], n[small], 1 << 16), np.bincount(tail[small], minlength=1 << 16)], 1)
     named = sums[False][:, 0] >= min_word
     further, kinds = sums[True].sum(0)
-    mass = float(n.sum() + len(n) + further + kinds + sums[False].sum() - n[small].sum() - small.sum() + ends + 1 + named.sum() + 2)
+    mass = float(n.sum() + len(n) + further + kinds + sums[False].sum() + ends + 1 + named.sum() + 2)
     classes = np.zeros((1 << 16) + 1)
     classes[1:][named] = (sums[False][named].sum(1) + 1) / mass
     classes[0] = (sums[False][~named].sum() + 1) / mass
@@ -386,7 +384,7 @@ def suffix_tree_scores(
     min_context: int = 2,
     gain: float = 10.0,
     discount: float = 0.75,
-    often_share: float = 2e-7,
+    broadcast_words: int = 4_000_000,
     block_places: int = BLOCK_PLACES,
     bucket_places: int = BUCKET_PLACES,
 ) -> DataFrame:
@@ -398,10 +396,10 @@ def suffix_tree_scores(
     Repeated rows score alike; null ids are ids like any other; an empty table gives an empty result; other columns are
     not read.
 
-    Words and contexts count from absolute numbers on, so the tree grows with the corpus. Broadcast are the words that
-    make up ``often_share`` of all tokens (1 / often_share of them at most, 5 million), a filter of 16 MB, and counts of
-    65,536 classes. Further words met ``min_word`` times are symbols as well; the tree's root takes their mean probability
-    for each of them. A place in a text goes to the bucket of the symbol before it; for a symbol with more places than
+    Words and contexts count from absolute numbers on, so the tree grows with the corpus. Broadcast are the words met
+    ``min_word`` times, or, if those are more than ``broadcast_words``, twice as often, four times and so on; a filter of
+    16 MB; and counts of 65,536 classes. Further words met ``min_word`` times are symbols as well; the tree's root takes
+    their mean probability for each of them. A place in a text goes to the bucket of the symbol before it; for a symbol with more places than
     ``bucket_places``, to one of several by the symbol before that, and what follows the symbol anywhere is counted ahead.
 
     A task holds about ``bucket_places`` or ``block_places`` at 400 bytes each. Rows are one for each block and bucket, so
@@ -409,8 +407,8 @@ def suffix_tree_scores(
     """
     if not 1 <= order <= 4:
         raise ValueError("order not from 1 to 4")
-    if not 2e-7 <= often_share <= 1:
-        raise ValueError("often_share not from 2e-7 to 1")
+    if not 0 <= broadcast_words < _CLASSES - _WORDS:
+        raise ValueError("broadcast_words not from 0 to 8 million")
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast
     source = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learns, F.lit(False)).alias("learns")))
@@ -419,7 +417,7 @@ def suffix_tree_scores(
     total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = training.count()
     tokens, distinct = total + ends, types + (ends > 0)
-    vocabulary = _vocabulary(words, ends, max(1, int(np.ceil(often_share * tokens))), min_word)
+    vocabulary = _vocabulary(words, ends, min_word, broadcast_words)
     discard(words)
     v = broadcast(vocabulary)
     router = broadcast(way := _Router(vocabulary, max(1, -(-tokens // bucket_places)), bucket_places))

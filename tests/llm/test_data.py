@@ -183,7 +183,7 @@ def lm(df, learns=None, **options):
 def test_lm(docs, corpus):
     """The base scores and counts, whatever is broadcast."""
     want = brute.unigram(corpus, lambda k: brute.fold(k, 7) == 2)
-    for options in ({}, {"often_share": 0.5}, {"often_share": 0.01, "block_places": 50, "bucket_places": 100}):
+    for options in ({}, {"broadcast_words": 0}, {"broadcast_words": 40, "block_places": 50, "bucket_places": 100}):
         rows = lm(docs, **options)
         assert rows.keys() == want.keys()
         for k, (n, known, train, base) in want.items():
@@ -204,9 +204,9 @@ def test_lm_tree(spark):
 def test_lm_tree_brute(docs, corpus, order):
     """The scores of a plain suffix tree; dealing places of frequent symbols to several buckets changes nothing."""
     train = [t for k, t in corpus if brute.fold(k, 7) != 2]
-    tokens = sum(len(brute.words(t)) + 1 for t in train)
-    for options in ({}, {"block_places": 300, "bucket_places": 400}, {"often_share": 0.02, "bucket_places": 1000}, {"min_context": 5, "gain": 3.0, "discount": 0.5}):
-        often_from = max(1, math.ceil(options.get("often_share", 2e-7) * tokens))
+    met = collections.Counter(w for t in train for w in brute.words(t)).values()
+    for options in ({}, {"block_places": 300, "bucket_places": 400}, {"broadcast_words": 100, "bucket_places": 1000}, {"min_context": 5, "gain": 3.0, "discount": 0.5}):
+        often_from = next(10 << j for j in range(40) if sum(n >= 10 << j for n in met) <= options.get("broadcast_words", 1e6))
         more = {k: v for k, v in options.items() if k in ("min_context", "gain", "discount")}
         want, nodes = brute.suffix_tree([t for _, t in corpus], train, 10, order=order, often_from=often_from, **more)
         assert nodes > 20
