@@ -17,9 +17,8 @@ from .textvec import column_bytes, row_blocks
 #: Half a chunk. A chunk is two neighbouring cells, so chunks overlap by half and cover the whole document.
 CELL = 256
 WIDTH = 4  # bytes that a filter sees
+ROW = CELL + WIDTH - 1  # a cell and what its last filters see of the next
 PAD = 256  # what stands behind a document's end
-LAGS = tuple(range(2, 25))  # distances at which a byte is compared with an earlier one
-SPAN = 32  # bytes over which equal ones are counted
 
 
 @dataclass
@@ -38,30 +37,23 @@ class Network:
 
 
 def cells(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents as rows of CELL byte codes, each document padded and from a row of its own; the first row of each, with
-    the number of rows last."""
+    """Documents as rows of ROW byte codes, CELL of their own and the first of the next row's, each document padded and from a
+    row of its own; the first row of each, with the number of rows last."""
     sizes = np.diff(bounds)
     rows = -(-(sizes + WIDTH - 1) // CELL)
     starts = np.concatenate(([0], np.cumsum(rows)))
     out = np.full(int(starts[-1]) * CELL, PAD, np.int16)
     at = np.arange(len(data)) + np.repeat(starts[:-1] * CELL - bounds[:-1], sizes)
     out[at] = data
-    return out.reshape(-1, CELL), starts
-
-
-def repeats(flat: np.ndarray) -> np.ndarray:
-    """Of each cell: the largest share of bytes, over SPAN places and all LAGS, that equal the byte one lag before."""
-    best = np.zeros(len(flat) // SPAN, np.float32)
-    for lag in LAGS:
-        same = np.zeros(len(flat), np.int8)
-        same[lag:] = (flat[lag:] == flat[:-lag]) & (flat[lag:] != PAD)
-        np.maximum(best, same.reshape(-1, SPAN).sum(1, dtype=np.int32), out=best)
-    return best.reshape(-1, CELL // SPAN).max(1) / np.float32(SPAN)
+    out = out.reshape(-1, CELL)
+    ahead = np.full((len(out), WIDTH - 1), PAD, np.int16)
+    ahead[:-1] = out[1:, : WIDTH - 1]
+    ahead[starts[1:] - 1] = PAD
+    return np.concatenate((out, ahead), 1), starts
 
 
 def responses(net: Network, codes: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """The largest response of each filter in each cell, and, if asked for, where it is."""
-    flat = np.append(codes.ravel(), np.full(WIDTH - 1, PAD, np.int16))
     out = np.empty((len(codes), net.filters), np.float32)
     where = np.empty((len(codes), net.filters), np.int64) if places else None
     step = 128
@@ -69,14 +61,13 @@ def responses(net: Network, codes: np.ndarray, places: bool = False) -> tuple[np
     for i in range(0, len(codes), step):
         n = min(step, len(codes) - i)
         for j in range(WIDTH):
-            own = flat[i * CELL + j : (i + n) * CELL + j]
-            np.take(net.table[j], own, axis=0, out=(part if j else total)[: n * CELL], mode="clip")
+            np.take(net.table[j], codes[i : i + n, j : j + CELL].ravel(), axis=0, out=(part if j else total)[: n * CELL], mode="clip")
             if j:
                 total[: n * CELL] += part[: n * CELL]
         cut = total[: n * CELL].reshape(n, CELL, net.filters)
         if places:
             at = cut.argmax(1)
-            where[i : i + n] = at + (np.arange(i, i + n) * CELL)[:, None]
+            where[i : i + n] = at + (np.arange(i, i + n) * ROW)[:, None]
             out[i : i + n] = np.take_along_axis(cut, at[:, None], 1)[:, 0]
         else:
             cut.max(1, out=out[i : i + n])
@@ -91,12 +82,12 @@ def _chunks(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return left, np.minimum(left + 1, np.repeat(starts[1:] - 1, n)), first
 
 
-def features(net: Network, codes: np.ndarray, starts: np.ndarray, repeat: np.ndarray, places: bool = False):
+def features(net: Network, codes: np.ndarray, starts: np.ndarray, places: bool = False):
     """Pooled features of each document; with places also what training needs."""
     cell, where = responses(net, codes, places)
     left, right, first = _chunks(starts)
     pooled = np.maximum(cell[left], cell[right])
-    act = np.concatenate((np.maximum(pooled + net.bias, 0), np.maximum(repeat[left], repeat[right])[:, None]), 1)
+    act = np.maximum(pooled + net.bias, 0)
     top = np.maximum.reduceat(act, first[:-1])
     mean = np.add.reduceat(act, first[:-1]) / np.diff(first)[:, None].astype(np.float32)
     both = np.concatenate((top, mean), 1)
@@ -109,47 +100,45 @@ def features(net: Network, codes: np.ndarray, starts: np.ndarray, repeat: np.nda
 def score(net: Network, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The probability of label 1 for each document."""
     codes, starts = cells(data, bounds)
-    z = features(net, codes, starts, repeats(codes.ravel())) @ net.weights + net.last
+    z = features(net, codes, starts) @ net.weights + net.last
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -50, 50)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, *, filters: int = 16, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 1) -> Network:
+def train(texts: list[bytes], labels: np.ndarray, *, filters: int = 32, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 1) -> Network:
     """Fit by Adam on the log loss. Without both labels, the network answers with their share."""
     rng = np.random.Generator(np.random.PCG64(seed))
     table = rng.normal(0, 0.3, (WIDTH, 257, filters)).astype(np.float32)
     table[:, PAD] = 0
     share = (float(np.sum(labels)) + 1) / (len(labels) + 2)
-    net = Network(table, np.full(filters, -0.5, np.float32), np.zeros(2 * filters + 2, np.float32), np.array(np.log(share / (1 - share)), np.float32))
+    net = Network(table, np.full(filters, -0.5, np.float32), np.zeros(2 * filters, np.float32), np.array(np.log(share / (1 - share)), np.float32))
     if len(set(labels.tolist())) < 2:
         return net
-    net.weights = rng.normal(0, 0.1, 2 * filters + 2).astype(np.float32)
+    net.weights = rng.normal(0, 0.1, 2 * filters).astype(np.float32)
     params = [net.table, net.bias, net.weights, net.last]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     steps, total = 0, epochs * -(-len(texts) // batch)
     made = []
     for t in texts:
         codes, starts = cells(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        made.append((codes, repeats(codes.ravel()), len(codes)))
+        made.append(codes)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for b in range(0, len(order), batch):
             own = order[b : b + batch]
-            codes = np.concatenate([made[i][0] for i in own])
-            repeat = np.concatenate([made[i][1] for i in own])
-            starts = np.concatenate(([0], np.cumsum([made[i][2] for i in own])))
-            x, act, top, spot, first = features(net, codes, starts, repeat, True)
+            codes = np.concatenate([made[i] for i in own])
+            starts = np.concatenate(([0], np.cumsum([len(made[i]) for i in own])))
+            x, act, top, spot, first = features(net, codes, starts, True)
             p = 1 / (1 + np.exp(-(x @ net.weights + net.last)))
             dz = ((p - labels[own]) / len(own)).astype(np.float32)
-            width = filters + 1
             n = np.diff(first)
             doc = np.repeat(np.arange(len(own)), n)
-            dact = (dz[:, None] * net.weights[width:] / n[:, None])[doc]
+            dact = (dz[:, None] * net.weights[filters:] / n[:, None])[doc]
             lead = act == top[doc]  # the largest of several chunks takes the gradient; ties share it
             ties = np.add.reduceat(lead, first[:-1], dtype=np.float32)[doc]
-            dact += lead * (dz[:, None] * net.weights[:width])[doc] / ties
-            dpre = (dact[:, :filters] * (act[:, :filters] > 0)).astype(np.float32)
+            dact += lead * (dz[:, None] * net.weights[:filters])[doc] / ties
+            dpre = (dact * (act > 0)).astype(np.float32)
             dtable = np.zeros_like(net.table)
-            flat = np.append(codes.ravel(), np.full(WIDTH, PAD, np.int16))
+            flat = codes.ravel()
             r, f = np.nonzero(dpre)
             for j in range(WIDTH):
                 np.add.at(dtable[j], (flat[spot[r, f] + j], f), dpre[r, f])
@@ -178,20 +167,16 @@ def fit(
     label_col: str = "quality",
     modulus: int = 5,
     max_rows: int = 4000,
-    max_bytes: int = 16384,
     seed: int = 1,
 ) -> Network:
-    """Train on at most ``max_rows`` labelled documents outside the held-out fold, those first by a hash of their ids.
-    A document of over ``max_bytes`` bytes lends evenly spaced pairs of cells that add up to that. Null ids, labels and
-    documents without a label are not used; a null text is empty."""
+    """Train on the whole texts of at most ``max_rows`` labelled documents outside the held-out fold, those first by a hash
+    of their ids. Null ids, labels and documents without a label are not used; a null text is empty; of rows that share an
+    id, each counts."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~in_fold(F.col(id_col), modulus))
     known = known.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).orderBy(order_key(F.col(id_col)), "label").limit(max_rows)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     chosen = docs.select(F.col(id_col).alias("doc_id"), text.alias("b")).join(F.broadcast(known), "doc_id")  # max_rows rows at most
-    pairs, size = max_bytes // (2 * CELL), 2 * CELL
-    cut = f"transform(sequence(0, {pairs - 1}), i -> hex(substring(b, cast(i * ((octet_length(b) - {size}) / {pairs - 1}) as int) + 1, {size})))"
-    part = F.when(F.octet_length("b") <= max_bytes, F.col("b")).otherwise(F.unhex(F.array_join(F.expr(cut), "")))  # array_join() takes text only
-    rows = sorted((r["doc_id"], r["label"], bytes(r["b"])) for r in chosen.select("doc_id", "label", part.alias("b")).collect())
+    rows = sorted((r["doc_id"], r["label"], bytes(r["b"])) for r in chosen.collect())
     return train([b for _, _, b in rows], np.array([x for _, x, _ in rows], np.float32), seed=seed)
 
 

@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import re
 import zlib
 
@@ -8,9 +9,11 @@ import pytest
 
 from millrace.llm import mixing, quality, suffix_tree_lm
 from millrace.llm.decontaminate import decontaminate, tiles
+from millrace.llm.queries import QUERIES
 from millrace.llm.sharding import rendezvous, shard
 from millrace.llm.token_counts import attribute, token_counts, token_spans
 
+from ..conftest import DATA
 from . import brute
 
 
@@ -162,17 +165,56 @@ def test_quality(labelled, empty):
     assert quality.quality_scores(docs, only).count() == 401
 
 
+def test_forward_pass():
+    """The scores of a plain forward pass, byte by byte."""
+    rng = np.random.default_rng(2)
+    net = quality.Network(rng.normal(size=(4, 257, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32), rng.normal(size=6).astype(np.float32), np.array(0.3, np.float32))
+    net.table[:, quality.PAD] = 0
+    texts = [rng.integers(0, 256, n, dtype=np.uint8) for n in (0, 1, 3, 255, 256, 257, 700, 2000)]
+    got = quality.score(net, np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    for t, p in zip(texts, got, strict=True):
+        cells = -(-(len(t) + 3) // 256)
+        code = [*t.tolist(), *[256] * (cells * 256 + 3 - len(t))]
+        best = [[max(sum(net.table[j, code[i + j], f] for j in range(4)) for i in range(c * 256, c * 256 + 256)) for f in range(3)] for c in range(cells)]
+        chunks = [[max(a, b) for a, b in zip(best[c], best[min(c + 1, cells - 1)], strict=True)] for c in range(max(cells - 1, 1))]
+        act = [[max(x + b, 0) for x, b in zip(c, net.bias, strict=True)] for c in chunks]
+        x = [max(c[f] for c in act) for f in range(3)] + [sum(c[f] for c in act) / len(act) for f in range(3)]
+        assert p == pytest.approx(1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, net.weights, strict=True)) + 0.3))), rel=1e-3)
+
+
+def test_quality_odd(spark, odd, empty, labelled):
+    """Null ids, repeated rows, clashing columns, tables without rows."""
+    net = quality.fit(odd, spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int"))
+    clash = odd.selectExpr("*", "1 AS score", "2 AS label", "3 AS b", "4 AS quality")
+    rows = quality.quality_scores(clash, net).collect()
+    assert len(rows) == 6 and {(r["label"], r["b"], r["quality"]) for r in rows} == {(2, 3, 4)} and all(0 <= r["score"] <= 1 for r in rows)
+    assert len({r["score"] for r in rows if r["text"] == "same same"}) == 1
+    assert quality.quality_scores(odd, quality.fit(empty, labelled[1])).count() == 6
+    assert quality.quality_scores(odd, quality.fit(odd, labelled[1].limit(0))).count() == 6
+
+
+def test_quality_on_labels(spark):
+    """Held-out accuracy at 0.3 on the labels of the test tables."""
+    data = DATA.replace("sf0.001", "sf0.01")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    out = QUERIES["op6_quality_classifier"](spark, data).where("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("quality is not null").collect()
+    assert len(out) > 50
+    assert sum(r["predicted"] == r["quality"] for r in out) / len(out) > 0.9
+    assert sum(r["predicted"] for r in out if r["quality"]) >= 0.97 * sum(r["quality"] for r in out)
+
+
 def test_chunks_cover_the_document():
     """A pattern counts wherever it stands, also across cells and at the end."""
     rng = np.random.default_rng(1)
-    net = quality.Network(np.zeros((quality.WIDTH, 257, 1), np.float32), np.zeros(1, np.float32), np.array([1, 0, 0, 0], np.float32), np.array(0, np.float32))
+    net = quality.Network(np.zeros((quality.WIDTH, 257, 1), np.float32), np.zeros(1, np.float32), np.array([1, 0], np.float32), np.array(0, np.float32))
     for j, c in enumerate(b"#!#!"):
         net.table[j, c, 0] = 1
     for at in (0, 254, 255, 256, 700, 1020):
         raw = rng.integers(97, 123, 1024, dtype=np.uint8)
         raw[at : at + 4] = np.frombuffer(b"#!#!", np.uint8)
         codes, starts = quality.cells(raw, np.array([0, 1024]))
-        assert quality.features(net, codes, starts, quality.repeats(codes.ravel()))[0, 0] == 4
+        assert quality.features(net, codes, starts)[0, 0] == 4
 
 
 def lm(df, learns=None, **options):
