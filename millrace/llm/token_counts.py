@@ -65,11 +65,6 @@ def attribute(first: np.ndarray, end: np.ndarray, starts: np.ndarray, rule: str
     return a, crosses
 
 
-def line_starts(text: str) -> np.ndarray:
-    """First characters of the lines; a line holds its newline. A text that ends with one has an empty line last."""
-    return np.fromiter((0, *(i + 1 for i, c in enumerate(text) if c == "\n")), np.int64) if "\n" in text else np.zeros(1, np.int64)
-
-
 def token_counts(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: str = "first", path: str = VOCABULARY, pattern: str = PATTERN
 ) -> DataFrame:
