@@ -48,6 +48,7 @@ class Table:
     columns: tuple[Column, ...]
     keys: tuple[Key, ...] = ()
     foreign: tuple[ForeignKey, ...] = ()
+    checks: tuple[str, ...] = ()  # Spark SQL of what no row may make false
     df: DataFrame = None
     next_rid: int = 1
     parts: tuple[str, ...] | None = ()

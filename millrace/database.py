@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -356,6 +357,7 @@ class Database:
             made = joined.select(*(F.expr(e) for e in exprs.values())).schema
             return {c: coerce(F.expr(e), f.dataType, table.column(c).type, f"{table.name}.{c}") for (c, e), f in zip(exprs.items(), made, strict=True)}, F.expr(condition) if condition else None
 
+        build.of_new = not any("`o_" in e for e in (*exprs.values(), condition or ""))
         return build
 
     def _do_update(self, r: Reader, params: Params, sql: str, columns: Callable | None) -> Result:
@@ -647,7 +649,7 @@ class Database:
             self.state = self.state.put_table(self._empty(name, cols, (), ()))
             self._write(lambda s: dml.insert(s, name, df.select(F.monotonically_increasing_id().alias(dml.ORD), "*")))
             return
-        cols, keys, foreign = [], [], []
+        cols, keys, foreign, rules = [], [], [], []
         for part in split(r.inside()):
             p = Reader(part)
             if p.accept("CONSTRAINT"):
@@ -659,12 +661,14 @@ class Database:
                 keys.append(Key(p.names()))
             elif p.accept("FOREIGN", "KEY"):
                 foreign.append(self._references(p.names(), p))
+            elif p.accept("CHECK"):
+                rules.append(self._rewriter(params).sql(p.inside()))
             else:
-                cols.append(self._column(p, keys, foreign, params))
+                cols.append(self._column(p, keys, foreign, params, rules))
             p.end()
-        self._define(name, tuple(cols), tuple(keys), tuple(foreign))
+        self._define(name, tuple(cols), tuple(keys), tuple(foreign), tuple(rules))
 
-    def _column(self, p: Reader, keys: list[Key], foreign: list[ForeignKey], params: Params) -> Column:
+    def _column(self, p: Reader, keys: list[Key], foreign: list[ForeignKey], params: Params, rules: list[str]) -> Column:
         name, declared = p.name(), p.type()
         not_null, default = False, None
         while p.now is not None:
@@ -682,6 +686,8 @@ class Database:
                 if not (p.i and p.tokens[p.i - 1].op(")")):
                     p.i += len(parts)
                 default = self._rewriter(params).sql(parts)
+            elif p.accept("CHECK"):
+                rules.append(self._rewriter(params).sql(p.inside()))
             elif p.now.is_("REFERENCES"):
                 foreign.append(self._references((name,), p))
             else:
@@ -709,7 +715,7 @@ class Database:
         table = Table(name, cols, keys, foreign)
         return replace(table, df=self.spark.createDataFrame([], table.schema))
 
-    def _define(self, name: str, cols: tuple[Column, ...], keys: tuple[Key, ...], foreign: tuple[ForeignKey, ...]) -> None:
+    def _define(self, name: str, cols: tuple[Column, ...], keys: tuple[Key, ...], foreign: tuple[ForeignKey, ...], rules: tuple[str, ...] = ()) -> None:
         low = [c.name.lower() for c in cols]
         if not cols or len(set(low)) < len(low):
             raise errors.ColumnExists(f"{name} needs columns of different names")
@@ -722,7 +728,8 @@ class Database:
             if len(f.columns) != len(f.parent_columns):
                 raise errors.ColumnCountMismatch(f"the foreign key of {name}")
         foreign = tuple(replace(f, columns=fixed(f.columns)) for f in foreign)
-        self.state = self.state.put_table(replace(table, keys=keys, foreign=foreign))
+        table.df.select(*(F.expr(c).cast("boolean") for c in rules))  # so that a rule that means nothing fails here
+        self.state = self.state.put_table(replace(table, keys=keys, foreign=foreign, checks=rules))
 
     def _create_trigger(self, name: str, r: Reader, sql: str) -> None:
         if name.lower() in self.state.triggers:
@@ -817,9 +824,9 @@ class Database:
         name = r.name()
         if r.accept("ADD"):
             r.accept("COLUMN")
-            keys, foreign = [], []
-            column = self._column(r, keys, foreign, params)
-            self._alter_add(name, column, keys, foreign)
+            keys, foreign, rules = [], [], []
+            column = self._column(r, keys, foreign, params, rules)
+            self._alter_add(name, column, keys, foreign, rules)
         elif r.accept("RENAME", "TO"):
             self._alter_rename(name, r.name())
         elif r.accept("RENAME"):
@@ -835,13 +842,13 @@ class Database:
         r.end()
         return Result()
 
-    def _alter_add(self, name: str, column: Column, keys: Sequence[Key] = (), foreign: Sequence[ForeignKey] = ()) -> None:
+    def _alter_add(self, name: str, column: Column, keys: Sequence[Key] = (), foreign: Sequence[ForeignKey] = (), rules: Sequence[str] = ()) -> None:
         table = self.state.table(name)
         if column.name.lower() in (n.lower() for n in table.names):
             raise errors.ColumnExists(f"{name}.{column.name}")
         value = F.expr(column.default).cast(column.type) if column.default else F.lit(None).cast(column.type)
         df = table.df.withColumn(column.name, value)
-        new = replace(dml.settle(table, df), columns=(*table.columns, column), keys=(*table.keys, *keys), foreign=(*table.foreign, *foreign))
+        new = replace(dml.settle(table, df), columns=(*table.columns, column), keys=(*table.keys, *keys), foreign=(*table.foreign, *foreign), checks=(*table.checks, *rules))
         state = self.state.put_table(new)
         checks.demand(checks.probes(state, new, df, None))
         self.state = state
@@ -870,6 +877,7 @@ class Database:
             columns=tuple(replace(c, name=new) if c.name == old else c for c in table.columns),
             keys=tuple(replace(k, columns=swap(k.columns)) for k in table.keys),
             foreign=tuple(replace(f, columns=swap(f.columns)) for f in table.foreign),
+            checks=tuple(re.sub(f"`{re.escape(old)}`", lambda _: f"`{new}`", c, flags=re.IGNORECASE) for c in table.checks),
         )
         state = self.state.put_table(changed)
         for child, _ in self.state.children(name):
@@ -884,6 +892,8 @@ class Database:
         column = table.column(column).name
         if len(table.columns) == 1:
             raise errors.ConstraintViolation(f"{column} is the last column of {name}")
+        if any(f"`{column.lower()}`" in c.lower() for c in table.checks):
+            raise errors.ConstraintViolation(f"a CHECK uses {name}.{column}")
         uses = [k.columns for k in table.keys] + [f.columns for f in table.foreign] + [f.parent_columns for _, f in self.state.children(name)] + [i.columns for i in self.state.indexes.values() if i.table.lower() == name.lower()]
         if any(column.lower() in (c.lower() for c in u) for u in uses):
             raise errors.ConstraintViolation(f"a key or index uses {name}.{column}")

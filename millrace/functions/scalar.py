@@ -53,6 +53,13 @@ def _json_set(j: str, path: str, value: str) -> str:
 
 
 #: What each function becomes, by its number of arguments.
+def _datetime(x: str) -> str:
+    """Date and time as text; 'now' is the moment in UTC, and what is no date or time gives null."""
+    form = "'yyyy-MM-dd HH:mm:ss'"
+    now = f"date_format(to_utc_timestamp(current_timestamp(), current_timezone()), {form})"
+    return f"CASE WHEN lower({x}) = 'now' THEN {now} ELSE date_format(try_cast({x} AS timestamp_ntz), {form}) END"
+
+
 SQL = {
     ("length", 1): lambda x: f"CAST(octet_length({x}) AS BIGINT)",
     ("lower", 1): lower_sql,
@@ -70,6 +77,7 @@ SQL = {
     ("ifnull", 2): lambda x, y: f"coalesce({x}, {y})",
     ("average", 1): lambda x: f"avg({x})",
     ("typeof", 1): _typeof,
+    ("datetime", 1): _datetime,
     ("json_extract", 2): lambda j, p: f"get_json_object({j}, {p})",
     ("json_set", 3): _json_set,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import RID, ForeignKey, Key, Snapshot, Table
 from ..errors import ConstraintViolation
+from ..sources.store import LOCAL_BYTES
 
 
 def filled(columns: tuple[str, ...], prefix: str = "") -> Column:
@@ -25,13 +26,26 @@ def key_rows(df: DataFrame, columns: tuple[str, ...], names: list[str]) -> DataF
 
 
 def matching(df: DataFrame, columns: tuple[str, ...], other: DataFrame, other_columns: tuple[str, ...], how: str) -> DataFrame:
-    """df semi- or anti-joined to other by equal, non-null columns."""
+    """df semi- or anti-joined to other by equal, non-null columns. Where df is small, other is first cut down to its keys
+    by a broadcast, so that a large table's keys aren't shuffled for a few new rows."""
     names = [f"_k{i}" for i in range(len(columns))]
     keys = key_rows(other, other_columns, names)
+    if small(df) and not small(other):
+        keys = keys.join(F.broadcast(key_rows(df, columns, names).distinct()), names, "left_semi")
     on = reduce(lambda a, b: a & b, (df[c] == keys[n] for c, n in zip(columns, names, strict=True)))
     return df.join(keys, on, how)
 
 
+def small(df: DataFrame) -> bool:
+    """Whether Catalyst knows the frame to hold few bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= LOCAL_BYTES
+
+
+def conditions(table: Table, rows: DataFrame) -> list[tuple[str, DataFrame]]:
+    """The rows against which a CHECK is; one that is null holds."""
+    return [(f"{table.name}: CHECK ({c})", rows.where(~F.coalesce(F.expr(c).cast("boolean"), F.lit(True)))) for c in table.checks]
+
+
 def repeated(df: DataFrame, key: Key) -> DataFrame:
     return df.where(filled(key.columns)).groupBy(*(F.col(f"`{c}`") for c in key.columns)).count().where("count > 1")
 
@@ -39,6 +53,7 @@ def repeated(df: DataFrame, key: Key) -> DataFrame:
 def probes(state: Snapshot, table: Table, delta: DataFrame, rest: DataFrame | None, all_keys: bool = True) -> list[tuple[str, DataFrame]]:
     """What must be empty for ``delta`` to stand in the table beside the rows ``rest``."""
     out = [(f"{table.name}.{c} is null", delta.where(F.col(f"`{c}`").isNull())) for c in not_null_columns(table)]
+    out += conditions(table, delta)
     for key in table.keys if all_keys else ():
         said = f"{table.name}({', '.join(key.columns)}) is not unique"
         out.append((said, repeated(delta, key)))
@@ -69,4 +84,4 @@ def demand(found: list[tuple[str, DataFrame]]) -> None:
         raise ConstraintViolation(said)
 
 
-__all__ = ["RID", "demand", "filled", "first_broken", "key_rows", "matching", "not_null_columns", "orphans", "probes", "repeated"]
+__all__ = ["RID", "conditions", "demand", "filled", "first_broken", "key_rows", "matching", "not_null_columns", "orphans", "probes", "repeated", "small"]

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import RID, ForeignKey, Key, Snapshot, Table
 from ..errors import ConstraintViolation, Unsupported
-from ..sources.store import scratch
+from ..sources.store import files_of, scratch
 from . import checks
 
 ORD = "_ord"  # the order of incoming rows
@@ -40,6 +41,40 @@ def settle(table: Table, df: DataFrame, added: DataFrame | None = None) -> Table
     return replace(table, df=df, parts=None, added=(), steps=steps)
 
 
+@dataclass
+class Apart:
+    """A stored table by the files that hold some rows, with what isn't stored yet, and the other files."""
+
+    touched: DataFrame
+    others: DataFrame
+    files: tuple[str, ...]
+
+    def with_rows(self, table: Table, rows: DataFrame) -> Table:
+        """The table with ``rows`` in place of what is touched; the other files stay as they are."""
+        steps = table.steps + 1
+        if steps >= STEPS:
+            rows, steps = scratch(rows), 0
+        return replace(table, df=self.others.unionByName(rows), parts=self.files, added=(rows,), steps=steps)
+
+
+def _apart(table: Table, rids: DataFrame) -> Apart | None:
+    """Where the rows are; None if the table isn't stored or all its files hold some. Of the files only RIDs are read."""
+    if not table.parts or table.series:
+        return None
+    spark = table.df.sparkSession
+    read = lambda paths: spark.read.schema(table.schema).parquet(*paths)
+    stored = read(table.parts)
+    at = stored.select(RID, F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
+    hit = {r["file"] for r in at.join(rids, RID, "left_semi").select("file").distinct().collect()}
+    files = files_of(table.parts, stored.inputFiles())
+    others = tuple(p for name, p in files.items() if name not in hit)
+    if not others:
+        return None
+    touched = [p for name, p in files.items() if name in hit]
+    frames = ([read(touched)] if touched else []) + list(table.added)
+    return Apart(reduce(DataFrame.unionByName, frames), read(others), others) if frames else None
+
+
 def numbered(table: Table, rows: DataFrame) -> tuple[Table, DataFrame, int]:
     """Rows with ORD get their RIDs in that order; also how many they are."""
     names = [F.col(f"`{n}`") for n in table.names]
@@ -95,8 +130,9 @@ def upsert(
     state: Snapshot, name: str, rows: DataFrame, target: tuple[str, ...], build: Callable[[DataFrame], tuple[dict[str, Column], Column | None]] | None
 ) -> tuple[Snapshot, list[Change], int]:
     """INSERT ... ON CONFLICT. target: the columns of the key meant (none: any). build: from the joined frame, whose old
-    columns are named o_ and incoming ones n_, what to set and under which condition; None: do nothing. Incoming rows
-    that share a key are taken one rank after another, so later ones see what earlier ones left."""
+    columns are named o_ and incoming ones n_, what to set and under which condition; None: do nothing. Of incoming rows that
+    share a key, later ones see what earlier ones left. Where what is set depends on the incoming rows alone
+    (build.of_new), one aggregation finds what the last of them leaves; else they are taken one rank after another."""
     table = state.table(name)
     keys = [k for k in table.keys if not target or {c.lower() for c in k.columns} == {c.lower() for c in target}]
     if target and not keys:
@@ -106,6 +142,10 @@ def upsert(
     if not keys:
         return insert(state, name, rows)
     key = keys[0]
+    if getattr(build, "of_new", False):
+        done = _upsert_at_once(state, table, rows, key, build)
+        if done is not None:
+            return done
     ranked = rows.withColumn("_n", F.when(checks.filled(key.columns), F.row_number().over(Window.partitionBy(*(F.col(f"`{c}`") for c in key.columns)).orderBy(ORD))).otherwise(1))
     ranked = scratch(ranked)
     changes, total = [], 0
@@ -129,6 +169,52 @@ def upsert(
     return state, changes, total
 
 
+def _upsert_at_once(state: Snapshot, table: Table, rows: DataFrame, key: Key, build: Callable) -> tuple[Snapshot, list[Change], int] | None:
+    """An upsert whose values and condition depend on the incoming rows alone, in as many jobs however often keys repeat;
+    None if something else looks at each of the steps."""
+    renamed = rows.select(ORD, *(F.col(f"`{c}`").alias(f"n_{c}") for c in table.names))
+    sets, where = build(renamed)
+    touched = {c.lower() for c in sets}
+    in_keys = [c for k in table.keys for c in k.columns]
+    in_foreign = [c for f in table.foreign for c in f.columns] + [c for _, f in state.children(table.name) for c in f.parent_columns]
+    fires = any(t.table.lower() == table.name.lower() and t.event in ("INSERT", "UPDATE") for t in state.triggers.values())
+    if fires or touched & {c.lower() for c in (*in_keys, *in_foreign)}:
+        return None
+    names = [F.col(f"`{c}`") for c in table.names]
+    own, ks = [F.col(f"n_{c}").alias(c) for c in table.names], [f"_k{i}" for i in range(len(key.columns))]
+    made = renamed.select(ORD, F.struct(*own).alias("row"), F.struct(*(c.alias(k) for k, c in sets.items())).alias("set"), F.coalesce(where, F.lit(False)).alias("ok") if where is not None else F.lit(True).alias("ok"))
+    keyed = made.select("*", *(F.col(f"row.`{c}`").alias(k) for c, k in zip(key.columns, ks, strict=True)))
+    full = keyed.where(checks.filled(tuple(ks)))
+    must = [c for c in checks.not_null_columns(table) if c.lower() in touched]
+    bad = lambda c: F.col("ok") & F.col(f"set.`{c}`").isNull()
+    groups = full.groupBy(*ks).agg(
+        F.min(ORD).alias(ORD),
+        F.min_by("row", ORD).alias("row"),
+        F.max_by("set", F.when(F.col("ok"), F.col(ORD))).alias("set"),
+        F.sum(F.col("ok").cast("long")).alias("hits"),
+        F.min_by(F.col("ok").cast("long"), ORD).alias("first"),
+        *(F.sum(bad(c).cast("long")).alias(f"b_{i}") for i, c in enumerate(must)),
+        *(F.min_by(bad(c).cast("long"), ORD).alias(f"f_{i}") for i, c in enumerate(must)),
+    )
+    groups = scratch(groups)
+    there = checks.key_rows(table.df.withColumn("_there", F.col(RID)), (*key.columns, "_there"), [*ks, "_there"])
+    met = scratch(groups.join(there, ks, "left")).withColumn("later", F.col("hits") - F.when(F.col("_there").isNull(), F.col("first")).otherwise(0))
+    checks.demand(
+        [(f"{table.name}.{c} is null", met.where(F.col(f"b_{i}") > F.when(F.col("_there").isNull(), F.col(f"f_{i}")).otherwise(0))) for i, c in enumerate(must)]
+        + [(f"{table.name}.{c} is null", met.where(F.col("_there").isNull() & F.col(f"row.`{c}`").isNull())) for c in must]
+    )
+    updates = met.where(F.col("_there").isNotNull() & (F.col("later") > 0))
+    total = updates.agg(F.coalesce(F.sum("later"), F.lit(0))).first()[0]
+    state, changes, _ = update(state, table.name, scratch(updates.select(F.col("_there").alias(RID), *(F.col(f"set.`{c}`").alias(f"u_{c}") for c in sets))), list(sets))
+    value = lambda c: F.when(F.col("later") > 0, F.col(f"set.`{c}`")).otherwise(F.col(f"row.`{c}`")) if c in sets else F.col(f"row.`{c}`")
+    fresh = met.where(F.col("_there").isNull())
+    total += fresh.agg(F.coalesce(F.sum("later"), F.lit(0))).first()[0]
+    fresh = fresh.select(ORD, *(value(c).alias(c) for c in table.names))
+    alone = keyed.where(~checks.filled(tuple(ks))).select(ORD, "row.*").select(ORD, *names)
+    state, more, n = insert(state, table.name, scratch(fresh.unionByName(alone)))
+    return state, changes + more, total + n
+
+
 def _do_nothing(state: Snapshot, table: Table, rows: DataFrame, key: Key) -> tuple[Snapshot, list[Change], int]:
     rows = checks.matching(rows, key.columns, table.df, key.columns, "left_anti")
     return insert(state, table.name, scratch(_first_of_each(rows, key)))
@@ -141,8 +227,10 @@ def update(state: Snapshot, name: str, updates: DataFrame, columns: list[str], d
     if not n:
         return state, [], 0
     columns = [table.column(c).name for c in columns]
+    apart = _apart(table, updates.select(RID))
+    base, others = (table.df, None) if apart is None else (apart.touched, apart.others)
     marked = updates.withColumnRenamed(RID, "_hit")
-    both = table.df.join(marked, table.df[RID] == F.col("_hit"), "left")
+    both = base.join(marked, base[RID] == F.col("_hit"), "left")
     value = lambda c: F.when(F.col("_hit").isNotNull(), F.col(f"`u_{c}`")).otherwise(F.col(f"`{c}`")) if c in columns else F.col(f"`{c}`")
     after = both.select(RID, *(value(c).alias(c) for c in table.names))
     hit = both.where(F.col("_hit").isNotNull())
@@ -153,10 +241,13 @@ def update(state: Snapshot, name: str, updates: DataFrame, columns: list[str], d
     found = [(f"{table.name}.{c} is null", new.where(F.col(f"`{c}`").isNull())) for c in checks.not_null_columns(table) if c.lower() in touched]
     for key in table.keys:
         if touched & {c.lower() for c in key.columns}:
-            found.append((f"{table.name}({', '.join(key.columns)}) is not unique", checks.repeated(after, key)))
+            said = f"{table.name}({', '.join(key.columns)}) is not unique"
+            rest = both.where(F.col("_hit").isNull()).select(*base.columns)
+            rest = rest if others is None else rest.unionByName(others)
+            found += [(said, checks.repeated(new, key)), (said, checks.matching(new, key.columns, rest, key.columns, "left_semi"))]
+    found += checks.conditions(table, new)
     checks.demand(found)
-    settled = settle(table, after)
-    state = state.put_table(settled)
+    state = state.put_table(settle(table, after) if apart is None else apart.with_rows(table, after))
     changes = [Change(table.name, "UPDATE", old, new)]
     if state.foreign_keys:
         for child, f in state.children(name):
@@ -210,8 +301,10 @@ def delete(state: Snapshot, name: str, victims: DataFrame, depth: int = 0) -> tu
     n = gone.count()
     if not n:
         return state, [], 0
-    rest = table.df.join(gone.select(F.col(RID).alias("_gone")), F.col(RID) == F.col("_gone"), "left_anti")
-    state = state.put_table(settle(table, rest))
+    apart = _apart(table, gone.select(RID))
+    base = table.df if apart is None else apart.touched
+    rest = base.join(gone.select(F.col(RID).alias("_gone")), F.col(RID) == F.col("_gone"), "left_anti")
+    state = state.put_table(settle(table, rest) if apart is None else apart.with_rows(table, rest))
     for child, f in children:
         kids = state.table(child.name)
         hits = checks.matching(kids.df, f.columns, gone, f.parent_columns, "left_semi")

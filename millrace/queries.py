@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .database import Database
 from .dsl import TypedTable
+from .errors import DatabaseError
 from .functions.patterns import LOWER, UPPER
+from .migrate import Migration, Migrator
+from .sources.db_file import export_file, import_file
+from .sources.store import scratch_root
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -222,6 +228,12 @@ _sql("fn_upper_ascii", "SELECT doc_id, md5(upper(text)) AS x FROM documents", f"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 for _fn in ("trim", "ltrim", "rtrim"):
     _sql(f"fn_{_fn}", f"SELECT n_nationkey, {_fn}('  ' || n_name || ' ') AS x FROM nation", f"SELECT n_nationkey, {_fn}('  ' || n_name || ' ', {_WS}) AS x FROM nation")
+_DIRTY = "chr(9) || ' ' || n_name || chr(13) || chr(10) || chr(11) || chr(12)"
+for _fn in ("trim", "ltrim", "rtrim"):
+    _sql(f"fn_{_fn}_space", f"SELECT n_nationkey, {_fn}({_DIRTY}) AS x FROM nation", f"SELECT n_nationkey, {_fn}({_DIRTY}, {_WS}) AS x FROM nation")
+_sql("pred_trim_some", f"SELECT n_nationkey FROM nation WHERE trim(CASE WHEN n_nationkey < 9 THEN {_DIRTY} ELSE n_name || '.' END) = n_name", "SELECT n_nationkey FROM nation WHERE n_nationkey < 9")
+_sql("fn_substr_text", "SELECT doc_id, substr(text, 5, 40) AS a, substr(text, -3, 6) AS b FROM documents", "SELECT doc_id, substr(text, 5, 40) AS a, substr(text, 1, 6) AS b FROM documents")
+_sql("fn_instr_text", "SELECT doc_id, instr(text, 'é') AS a, instr(text, 'the') AS b FROM documents")
 _sql("fn_substr", "SELECT n_nationkey, substr(n_name, 0, 3) AS a, substr(n_name, 2) AS b, substr(n_name, 1, -1) AS c FROM nation", "SELECT n_nationkey, substr(n_name, 1, 3) AS a, substr(n_name, 2) AS b, '' AS c FROM nation")
 _sql("fn_instr", "SELECT n_nationkey, instr(n_name, 'A') AS x FROM nation")
 _sql("fn_replace", "SELECT n_nationkey, replace(n_name, 'A', '**') AS x FROM nation")
@@ -312,3 +324,248 @@ _sql("case_when", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high
 _sql("window_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders", "SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))::INTEGER AS r FROM orders")
 _sql("multi_key_group", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
 _sql("join_outer_keyword", "SELECT r_name, n_name FROM region LEFT OUTER JOIN nation ON r_regionkey = n_regionkey AND n_nationkey != 3")
+
+
+# What statements are refused for, and what they leave
+
+
+def _tried(name: str, before: str, attempts: list[tuple[str, str]], after: str = "") -> None:
+    """Statements in turn, each with what comes of it: a number of changes, or the name of an error."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db, out = open_db(spark, sf_dir, before), []
+        db.exec(before)
+        for i, (text, _) in enumerate(attempts):
+            try:
+                outcome = str(db.exec(text).changes)
+            except DatabaseError as e:
+                outcome = type(e).__name__
+            out.append((i, outcome))
+        return spark.createDataFrame(out, "i int, outcome string")
+
+    QUERIES[name] = run
+    ORACLES[name] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, (_, x) in enumerate(attempts)) + ") AS t(i, outcome)"
+
+
+_BROKEN = "ConstraintViolation"
+_tried(
+    "keys_refuse",
+    _MAKE + "CREATE TABLE m (a INTEGER, b INTEGER, c TEXT UNIQUE, d INTEGER NOT NULL, PRIMARY KEY (a, b)); INSERT INTO m VALUES (1, 1, 'x', 0), (1, 2, NULL, 0)",
+    [
+        ("INSERT INTO n VALUES (3, 'again', 1)", _BROKEN),
+        ("INSERT INTO n VALUES (NULL, 'none', 1)", _BROKEN),
+        ("INSERT INTO n VALUES (800, 'a', 1), (800, 'b', 1)", _BROKEN),
+        ("UPDATE n SET id = 4 WHERE id = 5", _BROKEN),
+        ("INSERT INTO n SELECT n_nationkey + 20, n_name, 1 FROM nation", _BROKEN),
+        ("INSERT INTO m VALUES (1, 2, 'y', 0)", _BROKEN),
+        ("INSERT INTO m VALUES (2, 2, 'x', 0)", _BROKEN),
+        ("INSERT INTO m VALUES (2, 2, NULL, 0), (2, 3, NULL, 0)", "2"),
+        ("INSERT INTO m VALUES (3, 3, 'z', NULL)", _BROKEN),
+        ("UPDATE m SET d = NULL", _BROKEN),
+        ("UPDATE m SET c = 'w' WHERE b = 3", "1"),
+    ],
+)
+_tried(
+    "unique_index_refuses",
+    _MAKE + "CREATE UNIQUE INDEX by_name ON n (name)",
+    [
+        ("INSERT INTO n SELECT 900, n_name, 1 FROM nation WHERE n_nationkey = 3", _BROKEN),
+        ("INSERT INTO n VALUES (900, NULL, 1), (901, NULL, 1)", "2"),
+        ("CREATE UNIQUE INDEX by_region ON n (region)", _BROKEN),
+        ("DROP INDEX by_name", "0"),
+        ("INSERT INTO n SELECT 902, n_name, 1 FROM nation WHERE n_nationkey = 3", "1"),
+        ("CREATE INDEX by_name ON n (name)", "0"),
+        ("CREATE INDEX by_name ON n (name)", "IndexExists"),
+    ],
+)
+_tried(
+    "fk_refuses",
+    _FK.format("ON DELETE RESTRICT ON UPDATE NO ACTION"),
+    [
+        ("INSERT INTO c VALUES (100, 99)", _BROKEN),
+        ("INSERT INTO c VALUES (100, NULL), (101, 4)", "2"),
+        ("DELETE FROM p WHERE k = 1", _BROKEN),
+        ("UPDATE p SET k = 70 WHERE k = 1", _BROKEN),
+        ("UPDATE c SET k = 55 WHERE id = 3", _BROKEN),
+        ("DELETE FROM c WHERE k = 1", "5"),
+        ("DELETE FROM p WHERE k = 1", "1"),
+        ("PRAGMA foreign_keys = OFF", "0"),
+        ("DELETE FROM p WHERE k = 2", "1"),
+    ],
+)
+_tried(
+    "check_refuses",
+    "CREATE TABLE t (id INTEGER PRIMARY KEY CHECK (id > 0), n INTEGER, CHECK (n < 10)); INSERT INTO t VALUES (1, 5)",
+    [("INSERT INTO t VALUES (0, 1)", _BROKEN), ("INSERT INTO t VALUES (2, NULL)", "1"), ("UPDATE t SET n = n + 5", _BROKEN), ("UPDATE t SET n = n + 4", "2")],
+)
+_tried(
+    "drops",
+    _MAKE + "CREATE VIEW v AS SELECT id FROM n; CREATE INDEX i ON n (region); CREATE TRIGGER g AFTER DELETE ON n BEGIN DELETE FROM n; END",
+    [
+        ("DROP VIEW v", "0"),
+        ("SELECT * FROM v", "UnknownTable"),
+        ("DROP VIEW v", "UnknownView"),
+        ("DROP INDEX i", "0"),
+        ("DROP INDEX i", "UnknownIndex"),
+        ("DROP TRIGGER g", "0"),
+        ("DROP TRIGGER g", "UnknownTrigger"),
+        ("DELETE FROM n WHERE id = 1", "1"),
+        ("DROP TABLE n", "0"),
+        ("SELECT * FROM n", "UnknownTable"),
+        ("DROP TABLE IF EXISTS n", "0"),
+        ("DROP TABLE n", "UnknownTable"),
+    ],
+)
+_tried(
+    "changes",
+    _MAKE,
+    [
+        ("INSERT INTO n SELECT r_regionkey + 100, r_name, 1 FROM region", "5"),
+        ("INSERT OR IGNORE INTO n VALUES (1, 'x', 1), (200, 'y', 1)", "1"),
+        ("UPDATE n SET name = 'z' WHERE region = 3", "5"),
+        ("UPDATE n SET name = 'z' WHERE region = 77", "0"),
+        ("DELETE FROM n WHERE id >= 100", "6"),
+        ("DELETE FROM n", "25"),
+    ],
+)
+
+_sql("rollback_to_savepoint", _GET, f"SELECT * FROM ({_ROWS}) WHERE id > 3", before=_MAKE + "BEGIN TRANSACTION; DELETE FROM n WHERE id <= 3; SAVEPOINT s; DELETE FROM n; ROLLBACK TRANSACTION TO SAVEPOINT s; END TRANSACTION")
+_sql("pragma_application_id", "PRAGMA application_id", "SELECT 4711::BIGINT AS application_id", before="PRAGMA application_id = 4711")
+_sql("fk_set_default", "SELECT id, k FROM c", f"SELECT id, CASE WHEN k = 1 THEN 4 ELSE k END AS k FROM ({_KIDS})", before=_FK.replace("k INTEGER REF", "k INTEGER DEFAULT 4 REF").format("ON DELETE SET DEFAULT") + "DELETE FROM p WHERE k = 1")
+_sql("datetime_text", "SELECT event_id, datetime('2024-01-31 10:20:30') AS a, datetime('2024-01-31') AS b, datetime('none') AS c FROM events", "SELECT event_id, '2024-01-31 10:20:30' AS a, '2024-01-31 00:00:00' AS b, NULL::VARCHAR AS c FROM events")
+_sql(
+    "trigger_before_insert",
+    "SELECT kind, a, b FROM audit",
+    "SELECT 'x' AS kind, r_name AS a, NULL::VARCHAR AS b FROM region UNION ALL SELECT 'y', (r_regionkey + 300)::VARCHAR, r_name FROM region",
+    before=_AUDIT + "CREATE TRIGGER t BEFORE INSERT ON n BEGIN INSERT INTO audit VALUES ('x', NEW.name, NULL); INSERT INTO audit VALUES ('y', NEW.id, NEW.name); END; INSERT INTO n SELECT r_regionkey + 300, r_name, 1 FROM region",
+)
+_sql(
+    "trigger_update_body",
+    "SELECT k, n FROM counts",
+    "SELECT r_regionkey::BIGINT AS k, CASE WHEN r_regionkey = 2 THEN 1 ELSE 0 END::BIGINT AS n FROM region",
+    before=_MAKE + "CREATE TABLE counts (k INTEGER PRIMARY KEY, n INTEGER); INSERT INTO counts SELECT r_regionkey, 0 FROM region; CREATE TRIGGER t AFTER INSERT ON n BEGIN UPDATE counts SET n = n + 1 WHERE k = NEW.region; END; INSERT INTO n VALUES (400, 'a', 2)",
+)
+_sql(
+    "trigger_insert_select",
+    "SELECT kind, a, b FROM audit",
+    "SELECT 'gone' AS kind, r_name AS a, n_name AS b FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey = 4",
+    before=_AUDIT + "CREATE TABLE r (k INTEGER, name TEXT); INSERT INTO r SELECT r_regionkey, r_name FROM region; CREATE TRIGGER t AFTER DELETE ON n BEGIN INSERT INTO audit SELECT 'gone', name, OLD.name FROM r WHERE k = OLD.region; END; DELETE FROM n WHERE region = 4",
+)
+_sql(
+    "trigger_delete_body",
+    "SELECT id, k FROM kids",
+    f"SELECT * FROM ({_KIDS}) WHERE k <> 1",
+    before="CREATE TABLE p (k INTEGER PRIMARY KEY); INSERT INTO p SELECT r_regionkey FROM region; CREATE TABLE kids (id INTEGER, k INTEGER); INSERT INTO kids SELECT n_nationkey, n_regionkey FROM nation; CREATE TRIGGER t AFTER DELETE ON p BEGIN DELETE FROM kids WHERE k = OLD.k; END; DELETE FROM p WHERE k = 1",
+)
+_sql(
+    "upsert_repeated",
+    "SELECT id, name, region FROM n",
+    f"SELECT * FROM ({_ROWS}) WHERE id > 1 UNION ALL SELECT id, 'v' || (2998 + id), 2998 + id FROM (VALUES (0), (1)) AS t(id) UNION ALL SELECT 500, 'v3000', 3000",
+    before=_MAKE + "CREATE VIRTUAL TABLE s USING generate_series(1, 3000); INSERT INTO n SELECT CASE WHEN value % 3 = 0 THEN 500 WHEN value % 3 = 1 THEN 0 ELSE 1 END, 'v' || value, value FROM s ON CONFLICT (id) DO UPDATE SET name = excluded.name, region = excluded.region",
+)
+
+
+@dataclass
+class Nation:
+    id: int
+    name: str | None
+    region: int | None
+
+
+_NATIONS = TypedTable("typed", Nation)
+
+
+def _typed_nations(db: Database) -> None:
+    db.create_table(_NATIONS, primary_key=_NATIONS.c.id)
+    db.exec("INSERT INTO typed SELECT n_nationkey, n_name, n_regionkey FROM nation")
+
+
+def _mutated(db: Database) -> DataFrame:
+    _typed_nations(db)
+    c, q = _NATIONS.c, db.from_(_NATIONS)
+    q.insert([Nation(700, "new", 1), Nation(701, None, None)])
+    q.insert_ignore(Nation(700, "other", 2))
+    q.insert_replace(Nation(3, "three", 3))
+    q.update({"name": "one"}).where(c.region.eq(1)).execute()
+    q.delete().where(c.id.gt(700)).execute()
+    return db.table_df("typed")
+
+
+_dsl("typed_mutations", _mutated, "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey = 3 THEN 'three' WHEN n_regionkey = 1 THEN 'one' ELSE n_name END AS name, CASE WHEN n_nationkey = 3 THEN 3 ELSE n_regionkey END::BIGINT AS region FROM nation UNION ALL SELECT 700, 'one', 1")
+
+
+def _fetched(db: Database) -> DataFrame:
+    _typed_nations(db)
+    found = db.from_(_NATIONS).where(_NATIONS.c.region.eq(2)).fetch_typed()
+    one = db.from_(_NATIONS).where(_NATIONS.c.id.eq(7)).fetch_one_typed()
+    return db.spark.createDataFrame([(x.id, x.name) for x in [*found, one]], "id long, name string")
+
+
+_dsl("typed_fetch", _fetched, "SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
+
+
+def _catalog_calls(db: Database) -> DataFrame:
+    _typed_nations(db)
+    db.rename_table(_NATIONS, "kept")
+    db.add_column("kept", "extra", int)
+    db.rename_column("kept", "name", "title")
+    db.drop_column("kept", "region")
+    db.create_view("few", "SELECT id, title, extra FROM kept WHERE id < 5")
+    db.exec("CREATE TABLE gone (id INTEGER); INSERT INTO gone VALUES (1), (2)")
+    db.truncate("gone")
+    return db.query("SELECT id, title, extra FROM few UNION ALL SELECT id, 'left', 0 FROM gone")
+
+
+_dsl("catalog_calls", _catalog_calls, "SELECT n_nationkey::BIGINT AS id, n_name AS title, NULL::BIGINT AS extra FROM nation WHERE n_nationkey < 5")
+
+
+def _migrated(db: Database) -> DataFrame:
+    m = Migrator([Migration(2, "INSERT INTO log VALUES (2)", "DELETE FROM log WHERE v = 2"), Migration(3, "INSERT INTO log VALUES (3)", "DELETE FROM log WHERE v = 3")])
+    m.add(Migration(1, "CREATE TABLE log (v INTEGER); INSERT INTO log SELECT r_regionkey + 100 FROM region", "DROP TABLE log"))
+    seen = [m.apply(db), m.rollback(db), m.apply(db), m.rollback(db)]
+    return db.query("SELECT v FROM log").union(db.spark.createDataFrame([(x + 1000,) for x in seen], "v long"))
+
+
+_dsl("migrations", _migrated, "SELECT r_regionkey::BIGINT + 100 AS v FROM region UNION ALL VALUES (2), (1003), (1003), (1003), (1003)")
+
+
+def _prepared(db: Database) -> DataFrame:
+    p = db.prepare("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey = ? AND n_nationkey > ?")
+    first = p.bind(1, 1).bind(2, 2).step().df
+    p.reset()
+    return first.union(p.bind(1, 4).bind(2, 10).step().df)
+
+
+_dsl("prepared_steps", _prepared, "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey = 1 AND n_nationkey > 2 OR n_regionkey = 4 AND n_nationkey > 10")
+
+
+def _transactions(db: Database) -> DataFrame:
+    db.exec(_MAKE)
+    with db.transaction():
+        db.exec("DELETE FROM n WHERE region = 0")
+    try:
+        with db.transaction():
+            db.exec("DELETE FROM n")
+            raise RuntimeError
+    except RuntimeError:
+        pass
+    return db.query(_GET)
+
+
+_dsl("transaction_callback", _transactions, f"SELECT * FROM ({_ROWS}) WHERE region <> 0")
+
+
+def _round_trip(db: Database) -> DataFrame:
+    """Through a .db file, in the shared scratch folder."""
+    path = f"{scratch_root(db.spark).removeprefix('file://')}/trip-{uuid.uuid4().hex}.db"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    db.exec(_MAKE + "CREATE VIEW v AS SELECT id, name, region FROM n WHERE region = 3; PRAGMA user_version = 5")
+    own = Database(db.spark)
+    own.state = replace(db.state, tables={"n": db.state.table("n")})
+    export_file(own, path)
+    back = Database(db.spark)
+    import_file(back, path)
+    return back.query(f"SELECT id, name, region FROM v UNION ALL SELECT {back.state.user_version}, 'version', count(*) FROM n")
+
+
+_dsl("db_file_round_trip", _round_trip, f"SELECT * FROM ({_ROWS}) WHERE region = 3 UNION ALL SELECT 5, 'version', count(*) FROM nation")

@@ -167,6 +167,7 @@ def table_sql(state: object, name: str) -> str:
         parts.append(
             f"FOREIGN KEY ({', '.join(map(_quote, f.columns))}) REFERENCES {_quote(f.parent)} ({', '.join(map(_quote, f.parent_columns))}) ON DELETE {f.on_delete} ON UPDATE {f.on_update}"
         )
+    parts += [f"CHECK ({c})" for c in table.checks]
     return f"CREATE TABLE {_quote(table.name)} ({', '.join(parts)})"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -14,12 +15,15 @@ from ..catalog import Column, ForeignKey, Index, Key, Snapshot, Table, Trigger,
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that setting is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that setting is unset, a folder of our own if driver and executors
+    are one process; on a cluster, whose machines share no such folder, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise errors.DatabaseError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,6 +49,15 @@ def scratch(df: DataFrame) -> DataFrame:
     return keep(df, f"{scratch_root(df.sparkSession)}/millrace")[0]
 
 
+def files_of(parts: Sequence[str], found: Sequence[str]) -> dict[str, str]:
+    """Path of each file by its name. parts: folders and files as a manifest names them; found: what Spark found there."""
+    known, out = {p.rsplit("/", 1)[1]: p for p in parts}, {}
+    for f in found:
+        folder, name = f.rsplit("/", 2)[-2:]
+        out[name] = known[name] if name in known else f"{known[folder]}/{name}"
+    return out
+
+
 class Store:
     """A folder that any Hadoop file system holds. A commit writes parts, then a manifest of the next number; manifests
     and parts are written once, so a commit that is broken off changes nothing. Readers take the highest manifest."""
@@ -95,13 +108,19 @@ class Store:
     def vacuum(self, state: Snapshot) -> int:
         """Delete the parts and manifests that the newest manifest doesn't need; how many parts went."""
         n, gone = self.last(), 0
-        needed = {p.rsplit("/", 1)[1] for t in state.tables.values() for p in t.parts or ()}
+        # a part is needed whole, or some of its files are
+        whole = {p.rsplit("/", 1)[1] for t in state.tables.values() for p in t.parts or ()}
+        some = {p.rsplit("/", 2)[1] for t in state.tables.values() for p in t.parts or ()}
         root, fs = self._fs(self.path)
         for folder in fs.listStatus(root):
             for x in fs.listStatus(folder.getPath()):
                 name = x.getPath().getName()
-                if name.startswith("part-") and name not in needed:
+                if name.startswith("part-") and name not in whole | some:
                     gone += fs.delete(x.getPath(), True)
+                elif name in some and name not in whole:
+                    for y in fs.listStatus(x.getPath()):
+                        if y.getPath().getName().endswith(".parquet") and y.getPath().getName() not in whole:
+                            fs.delete(y.getPath(), False)
                 elif name.endswith(".json") and name != f"{n}.json":
                     fs.delete(x.getPath(), False)
         return gone
@@ -119,6 +138,7 @@ def _encode(state: Snapshot) -> dict:
             "name": t.name,
             "columns": [[c.name, c.declared, c.type.json(), c.not_null, c.default] for c in t.columns],
             "keys": [[list(k.columns), k.primary, k.index] for k in t.keys],
+            "checks": list(t.checks),
             "foreign": [[list(f.columns), f.parent, list(f.parent_columns), f.on_delete, f.on_update] for f in t.foreign],
             "parts": list(t.parts or ()),
             "next_rid": t.next_rid,
@@ -143,6 +163,7 @@ def _decode(spark: SparkSession, x: dict) -> Snapshot:
             columns,
             tuple(Key(tuple(a), b, c) for a, b, c in t["keys"]),
             tuple(ForeignKey(tuple(a), b, tuple(c), d, e) for a, b, c, d, e in t["foreign"]),
+            checks=tuple(t.get("checks", ())),
             next_rid=t["next_rid"],
             parts=tuple(t["parts"]),
             series=tuple(t["series"]) if t["series"] else None,

@@ -43,6 +43,7 @@ def stream_into(db: Database, table: str, df: DataFrame, key: tuple[str, ...] =
         def build(_joined: DataFrame):
             return {c: F.col(f"n_{c}") for c in others}, None
 
+        build.of_new = True
         db._change(lambda: db._write(lambda s: dml.upsert(s, table, rows, key, build)))
 
     return df.writeStream.foreachBatch(put)
