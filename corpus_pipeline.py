@@ -20,10 +20,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8), the document with the smallest id. Rows alike in all columns
-    count as one; rows that share an id but not a text share its fate. Documents without words are no one's duplicates."""
-    heads = ngram_components(docs, n=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias("head")).distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi").dropDuplicates()
+    """Of each group of near duplicates (five words, 0.8), the document with the smallest id; documents without an id go by
+    a hash of their text and come after the others. Rows alike in id and text count as one, of which any stays; rows that
+    share an id but not a text share its fate. Documents without words are no one's duplicates."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
+    heads = ngram_components(docs.select(own.alias("own"), "text"), id_col="own", n=5, percent=80)
+    heads = heads.where("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
+    text = F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own"), *text)
+    return rows.join(heads, F.col("own") == F.col("head"), "left_semi").dropDuplicates(["own", "t1", "t2"]).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
