@@ -35,8 +35,8 @@ from .textvec import column_bytes, mix, powers, row_blocks, word_hashes
 FILTER_BITS = 27
 #: Places that a block of documents holds, if it isn't one document; and that a bucket holds on average. A symbol with
 #: more places than that has them dealt to several buckets by the symbol before it.
-BLOCK_PLACES = 1 << 19
-BUCKET_PLACES = 3 << 18
+BLOCK_PLACES = 3 << 17
+BUCKET_PLACES = 3 << 17
 
 # Symbols: no symbol (before a document's begin), the end, words by falling frequency, classes from CLASSES on, and other
 # words by their hash with the top bit set.
@@ -494,6 +494,7 @@ def _score_bucket(table: pa.Table, v: Vocabulary, way: _Router, order: int, min_
             before = [np.concatenate((c, none if k else hot[0])) for k, c in enumerate(before)]
             after, weight = np.concatenate((after, hot[1])), np.concatenate((weight, none))
         won, _ = grow(before, after, [near] + [weight] * (order - 1), v.root(after), min_context, gain, discount)
+        del before, after, weight, near
         packed, sizes = [], []
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             rep, back = np.unique(_together(places[order + 1, a:b]), return_inverse=True)
