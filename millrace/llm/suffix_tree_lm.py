@@ -357,20 +357,27 @@ def _ship(v, router, order: int, places: int):
 
 
 def _hot_counts(texts: DataFrame, v, router, places: int) -> DataFrame:
-    """c, x and n of the symbols after the frequent ones, in documents that are learnt from."""
+    """The symbols after the frequent ones, in documents that are learnt from, with their numbers: for each block, frequent
+    symbol and one of as many parts as that has buckets, a row of packed columns."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _sequences(batches, v.value, places):
             seq, n = held["seq"], held["n"]
             starts = np.concatenate(([0], np.cumsum(n)))[:-1]
             before = contexts(seq, np.arange(len(seq)) - np.repeat(starts, n), 1)[0]
-            at = np.flatnonzero(router.value.is_hot(before))
+            spot, hit = _lookup(router.value.hot, before)
+            at = np.flatnonzero(hit)
             _, first, n = np.unique(mix((before[at] ^ mix(seq[at] + _STEP)) * _STEP), return_index=True, return_counts=True)
-            cols = before[at[first]].view(np.int64), seq[at[first]].view(np.int64), n.astype(np.int64)
-            for a in range(0, len(first), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["c", "x", "n"])
+            spot, x = spot[at[first]], seq[at[first]]
+            part = (mix(x) % router.value.parts[spot]).astype(np.int64)
+            sort = np.lexsort((part, spot))
+            spot, part, x, n = spot[sort], part[sort], x[sort], n[sort]
+            cut = [*np.flatnonzero(np.diff(spot, prepend=-1).astype(bool) | np.diff(part, prepend=-1).astype(bool)).tolist(), len(spot)]
+            rows = [(int(spot[a]), int(part[a]), b - a, _pack(x[a:b], n[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            for a in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 256], strict=True)], names=["spot", "part", "n", "data"])
 
-    return texts.mapInArrow(work, "c long, x long, n long").groupBy("c", "x").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(work, "spot long, part long, n long, data binary")
 
 
 def suffix_tree_scores(
@@ -425,7 +432,7 @@ def suffix_tree_scores(
     id_type = source.schema["doc_id"].dataType.simpleString()
     shipped = source.mapInArrow(_ship(v, router, order, block_places), f"{_SHIPPED}, doc_id {id_type}")
     if len(way.hot):
-        hot = _hot_counts(training, v, router, block_places).groupBy("c").applyInArrow(_deliver(router, spark_type(source, "doc_id")), f"{_SHIPPED}, doc_id {id_type}")
+        hot = _hot_counts(training, v, router, block_places).groupBy("spot", "part").applyInArrow(_deliver(router, spark_type(source, "doc_id")), f"{_SHIPPED}, doc_id {id_type}")
         shipped = shipped.unionByName(hot)
 
     def score(table: pa.Table) -> pa.Table:
@@ -451,14 +458,15 @@ def spark_type(df: DataFrame, name: str) -> pa.DataType:
 
 
 def _deliver(router, id_type: pa.DataType):
-    """What follows a frequent symbol, to all buckets of its places."""
+    """What follows a frequent symbol, added up, to all buckets of its places."""
 
     def work(table: pa.Table) -> pa.Table:
-        c = table.column("c").to_numpy()
-        cols = [table.column(k).to_numpy().view(np.uint64) for k in ("x", "n")]
-        data = _pack(c.view(np.uint64), *cols)
-        buckets = router.value.all_of(int(c.view(np.uint64)[0])).tolist()
-        return pa.Table.from_batches([_rows(_HOT, buckets, [None] * len(buckets), [len(c)] * len(buckets), [data] * len(buckets), id_type)])
+        c = int(router.value.hot[table.column("spot")[0].as_py()])
+        x, n = np.concatenate([_unpack(d.as_py(), 2, k.as_py()) for d, k in zip(table.column("data"), table.column("n"), strict=True)], axis=1)
+        x, back = np.unique(x, return_inverse=True)
+        n = np.bincount(back, n.astype(np.float64)).astype(np.uint64)
+        data, buckets = _pack(np.full(len(x), c, np.uint64), x, n), router.value.all_of(c).tolist()
+        return pa.Table.from_batches([_rows(_HOT, buckets, [None] * len(buckets), [len(x)] * len(buckets), [data] * len(buckets), id_type)])
 
     return work
 
