@@ -34,7 +34,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most:
     return out
 
 
-def draw(slots: Sequence[int], shards: int, seed: int) -> np.ndarray:
+def draw(slots: Sequence[int], shards: int, seed: int | list[int]) -> np.ndarray:
     """Slots of each source in each output shard: multinomial draws with the sources' open slots as weights. What a draw
     has beyond a source's open slots is drawn again among the others, so that the shards add up to ``slots``."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -125,8 +125,9 @@ def plan_mix(
     A null or token-free text has size 0 and is never taken. Repeated rows are documents of their own. A null id is an
     id like any other. An empty table gives an empty mix. The same documents always give the same mix.
 
-    Only the sources' totals come to the driver, and more than ``max_sources`` raise ValueError. Running sums go by
-    source and 4,096 hash buckets, so that a source with a third of all rows spreads over as many tasks.
+    Only the totals of up to ``max_sources`` sources come to the driver. Of more sources, targets and slots are computed in
+    tables, the slots in groups of ``max_sources`` sources. Running sums go by source and 4,096 hash buckets, so that a
+    source with a third of all rows spreads over as many tasks.
     """
     rows = docs.select(
         F.struct(*(keep or docs.columns)).alias("row"),
@@ -138,13 +139,24 @@ def plan_mix(
     return _plan(rows, weights, share, most, block_tokens, out_shards, max_sources, seed)
 
 
-def _plan(rows: DataFrame, weights, share, most, block_tokens, out_shards, max_sources, seed) -> Mix:
-    spark = rows.sparkSession
-    rows = rows.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS))
-    sums = save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-sums")
-    found = sums.groupBy("source").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"over {max_sources} sources")
+def _deal(numbers: np.ndarray, slots: np.ndarray, blocks: np.ndarray, shards: int, seed: int | list[int]) -> pd.DataFrame:
+    """Runs of at most a million slots: of each shard and source, the first slot, their number, and the source's blocks."""
+    counts, step = draw(slots, shards, seed), 1_000_000
+    k, i = np.nonzero(counts)
+    first = (np.cumsum(counts, axis=0) - counts)[k, i]
+    many = counts[k, i]
+    cuts = -(-many // step)
+    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    k, i, first, many = (np.repeat(x, cuts) for x in (k, i, first, many))
+    return pd.DataFrame({"out_shard": k, "source_no": numbers[i], "first": first + nth * step, "n": np.minimum(step, many - nth * step), "blocks": blocks[i]})
+
+
+_SOURCES = "source string, source_no int, weight double, source_size long, blocks long, target double, slots long"
+_RUNS = "out_shard int, source_no int, first long, n long, blocks long"
+
+
+def _few_sources(spark, found, weights, share, most, block_tokens, out_shards, seed) -> tuple[DataFrame, DataFrame]:
+    """The sources and their runs, from the list of all sources."""
     found = sorted(((r["source"], int(r["n"])) for r in found), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     sizes = [n for _, n in found]
     own = [float(weights[i % len(weights)]) for i in range(len(found))]
@@ -152,9 +164,62 @@ def _plan(rows: DataFrame, weights, share, most, block_tokens, out_shards, max_s
     blocks = [-(-n // block_tokens) for n in sizes]
     slots = [round(t * b / n) if n else 0 for t, b, n in zip(goal, blocks, sizes, strict=True)]
     table = [(s, i, w, n, b, t, k) for i, ((s, n), w, b, t, k) in enumerate(zip(found, own, blocks, goal, slots, strict=True))]
-    sources = spark.createDataFrame(table, "source string, source_no int, weight double, source_size long, blocks long, target double, slots long")
+    runs = _deal(np.arange(len(found)), np.array(slots, np.int64), np.array(blocks, np.int64), out_shards, seed)
+    return spark.createDataFrame(table, _SOURCES), spark.createDataFrame(runs, _RUNS)
+
 
-    numbers = F.broadcast(sources.select(F.col("source").alias("s"), "source_no"))
+def _many_sources(per: DataFrame, weights, share, most, block_tokens, out_shards, group, seed) -> tuple[DataFrame, DataFrame]:
+    """The same, as tables, from a row for each source (source, n). The targets stop at a level, the tokens for a weight of
+    1, that rises while sources are above their limits: one aggregate a round. Slots are drawn for ``group`` sources at a
+    time, so a shard's counts are the sum of the groups' multinomial draws."""
+    spark = per.sparkSession
+    placed = save(per.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()), "mix-sources")
+    part, nth = F.shiftright("place", 33).cast("int"), F.col("place").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).count().collect())
+    starts = spark.createDataFrame([(p, sum(n for _, n in sizes[:j])) for j, (p, _) in enumerate(sizes)], "part int, start long")
+    cycle = F.array(*(F.lit(float(w)) for w in weights))
+    table = placed.select("source", "n", part.alias("part"), nth.alias("nth")).join(F.broadcast(starts), "part")
+    table = table.select("source", (F.col("start") + F.col("nth")).cast("int").alias("source_no"), F.col("n").alias("source_size"))
+    table = table.withColumn("weight", F.get(cycle, F.col("source_no") % len(weights))).withColumn("most", F.col("source_size") * float(most))
+
+    level, capped = 0.0, -1
+    while True:
+        above, some = F.col("weight") * level > F.col("most"), F.col("source_size") > 0
+        row = table.where(some).agg(
+            F.count_if(above), F.coalesce(F.sum(F.when(above, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~above, F.col("weight"))), F.lit(0.0)), F.sum("source_size")
+        ).first()
+        if row[0] == capped or not row[2]:
+            break
+        capped, level = row[0], (share * float(row[3]) - row[1]) / row[2]
+    table = table.withColumn("blocks", F.expr(f"(source_size + {block_tokens - 1}) div {block_tokens}"))
+    table = table.withColumn("target", F.when(F.col("source_size") > 0, F.least("most", F.col("weight") * level)).otherwise(0.0))
+    slots = F.when(F.col("source_size") > 0, F.bround(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long")
+    sources = save(table.select("source", "source_no", "weight", "source_size", "blocks", "target", slots.alias("slots")), "mix-targets")
+
+    def deal(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("source_no")
+        return _deal(*(own[c].to_numpy() for c in ("source_no", "slots", "blocks")), out_shards, [seed, int(key[0])])
+
+    runs = sources.where("slots > 0").select("source_no", "slots", "blocks").groupBy(F.expr(f"source_no div {group}").alias("part")).applyInPandas(deal, _RUNS)
+    # a group's runs come from one task, and each grows to as many slots as a run has
+    tasks = max(spark.sparkContext.defaultParallelism, sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0] // 1_000_000)
+    return sources, runs.repartition(tasks, "out_shard", "source_no", "first")
+
+
+def _plan(rows: DataFrame, weights, share, most, block_tokens, out_shards, max_sources, seed) -> Mix:
+    spark = rows.sparkSession
+    rows = rows.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS))
+    sums = save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-sums")
+    per = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    found = per.limit(max_sources + 1).collect()
+    few = len(found) <= max_sources
+    if few:
+        sources, runs = _few_sources(spark, found, weights, share, most, block_tokens, out_shards, seed)
+    else:
+        sources, runs = _many_sources(per, weights, share, most, block_tokens, out_shards, max_sources, seed)
+
+    numbers = sources.select(F.col("source").alias("s"), "source_no")
+    numbers = F.broadcast(numbers) if few else numbers
     number = lambda df: df.join(numbers, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = number(sums).select("source_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -162,24 +227,13 @@ def _plan(rows: DataFrame, weights, share, most, block_tokens, out_shards, max_s
     placed = number(rows).withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["source_no", "bucket"])
     placed = save(placed.select("row", "source_no", "size", (F.col("start") + F.col("inner")).alias("begin")), "mix-placed")
 
-    counts = draw(slots, out_shards, seed)
-    ranks = np.cumsum(counts, axis=0) - counts
-    step = 1_000_000
-    runs = [
-        (k, i, int(ranks[k, i]) + a, min(step, int(counts[k, i]) - a), blocks[i])
-        for k, i in zip(*np.nonzero(counts), strict=True)
-        for a in range(0, int(counts[k, i]), step)
-    ]
-    runs = [(int(k), int(i), r, n, b) for k, i, r, n, b in runs]
-
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k, i, r, n, b in batch.itertuples(index=False):
                 at = permute(np.arange(r, r + n) % b, b, seed * 1_000_003 + i)
                 yield pd.DataFrame({"out_shard": np.int32(k), "source_no": np.int32(i), "block": at})
 
-    runs_df = spark.createDataFrame(runs, "out_shard int, source_no int, first long, n long, blocks long")
-    taken = runs_df.mapInPandas(fill, "out_shard int, source_no int, block long")
+    taken = runs.mapInPandas(fill, "out_shard int, source_no int, block long")
     return Mix(placed, taken, sources, block_tokens)
 
 

@@ -92,8 +92,35 @@ def test_mix_odd(odd, empty):
     assert mixing.plan_mix(empty).taken().count() == 0
     assert mixing.mixed_documents(empty).count() == 0
     assert mixing.plan_mix(odd, block_tokens=2).taken().count() == 6
-    with pytest.raises(ValueError):
-        mixing.plan_mix(odd, max_sources=2)
+    few, many = mixing.plan_mix(odd, block_tokens=2), mixing.plan_mix(odd, block_tokens=2, max_sources=2)
+    assert sorted(many.sources.collect(), key=str) == sorted(few.sources.collect(), key=str) and many.taken().count() == 6
+
+
+def test_mix_many_sources(spark):
+    # one source with a third of all rows, one without words, a null one, and names whose code point order isn't UTF-16's
+    rows = [(k, "w " * (1 + k * 7 % 90), "hot" if k % 3 == 0 else f"s{k % 59}" if k % 58 else ("\U0001f600", "\uffee", None)[k // 174 % 3]) for k in range(1500)]
+    docs = spark.createDataFrame([*rows, (1500, " ", "none")], "doc_id long, text string, source string").repartition(7)
+    one = mixing.plan_mix(docs, block_tokens=16, out_shards=4)
+    plan = mixing.plan_mix(docs, block_tokens=16, out_shards=4, max_sources=10)
+    by_no = lambda p: sorted(p.sources.collect(), key=lambda r: r["source_no"])
+    assert len(by_no(plan)) > 50
+    for a, b in zip(by_no(one), by_no(plan), strict=True):
+        assert a[:5] == b[:5] and a["slots"] == b["slots"] and b["target"] == pytest.approx(a["target"])
+    taken = {r["row"]["doc_id"]: (r["source_no"], r["size"], r["taken"]) for r in plan.taken().collect()}
+    per = collections.Counter()
+    for no, size, n in taken.values():
+        assert 0 <= n <= 2 * size
+        per[no] += n
+    assert all(abs(per[r["source_no"]] - r["target"]) <= 32 for r in by_no(plan))
+    # every block is taken floor or ceil of slots / blocks times, as with few sources
+    times = {(r["source_no"], r["block"]): r["count"] for r in plan.slots.groupBy("source_no", "block").count().collect()}
+    for r in by_no(plan):
+        own = [times.get((r["source_no"], b), 0) for b in range(r["blocks"])]
+        assert sum(own) == r["slots"] and max(own, default=0) - min(own, default=0) <= 1
+    shards = [r["count"] for r in plan.slots.groupBy("out_shard").count().collect()]
+    assert len(shards) == 4 and max(shards) - min(shards) <= 6
+    again = mixing.plan_mix(docs.repartition(3), block_tokens=16, out_shards=4, max_sources=10)
+    assert {r["row"]["doc_id"]: (r["source_no"], r["size"], r["taken"]) for r in again.taken().collect()} == taken
 
 
 def test_token_counts(docs, corpus):
