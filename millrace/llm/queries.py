@@ -39,7 +39,7 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = plan_mix(docs, weights=(3, 1, 2), share=1.5, most=2.0, keep=["doc_id"])
-    goals = F.broadcast(plan.sources.select("source_no", "source_size", "target"))  # one row a source, of which there are max_sources at most
+    goals = plan.sources.select("source_no", "source_size", "target")
     return plan.taken().join(goals, "source_no").select("row.doc_id", "size", "source_size", "target", "taken")
 
 
